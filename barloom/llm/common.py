@@ -101,7 +101,14 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, name: str, kind: str = "bigint") -> DataFrame:
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node points to one smaller node, and that points nowhere."""
+    if edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+        return edges.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") > 1).isEmpty()
+    return False
+
+
+def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v); the component is its smallest node.
 
     Large-star and small-star rounds alternate until no edge changes.  Every round is a grouped
@@ -112,34 +119,17 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str, kind: st
     ordered = edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()
     current = scratch.write(ordered, f"{name}-0")
     step = 0
-    seen = None
-    while True:
+    while not _stars(current):
         # large star: of every node, connect the larger neighbours to the smallest of all, itself included
         both = current.select("u", "v").union(current.select(v.alias("u"), u.alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), u).alias("m"))
-        large = (
-            both.where(v > u)
-            .join(least, "u")
-            .select(v.alias("u"), F.col("m").alias("v"))
-            .where(u != v)
-            .distinct()
-        )
+        large = both.where(v > u).join(least, "u").select(v.alias("u"), F.col("m").alias("v")).where(u != v).distinct()
         # small star: of every node, connect the smaller neighbours and itself to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(least, "u")
-            .select(v.alias("u"), F.col("m").alias("v"))
-            .where(u != v)
-            .union(least.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
+        small = large.join(least, "u").select(v.alias("u"), F.col("m").alias("v")).where(u != v)
         step += 1
-        nxt = scratch.write(small, f"{name}-{step}")
-        state = nxt.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint")), F.sum(F.xxhash64("v", "u") % 1000003)).first()
+        nxt = scratch.write(small.union(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{step}")
         scratch.drop(f"{name}-{step - 1}")
         current = nxt
-        if state == seen:
-            break
-        seen = state
     roots = current.select(v.alias("node"), v.alias("component")).distinct()
     return current.select(u.alias("node"), v.alias("component")).union(roots)
