@@ -305,10 +305,11 @@ rg AS (SELECT t, CASE WHEN nv >= 200 AND vol_s_160 IS NOT NULL THEN CASE WHEN vo
   CASE WHEN nt >= 200 AND trend IS NOT NULL THEN CASE WHEN trend <= qt[1] THEN 0 WHEN trend <= qt[2] THEN 1 ELSE 2 END END AS tb FROM f, qq)"""
 
 
-@query(f"WITH {X.BARS}, {REGIME_SQL} SELECT t, CAST(vb AS INTEGER) AS vol_bin, CAST(tb AS INTEGER) AS trend_bin, CAST(vb * 3 + tb AS INTEGER) AS regime FROM rg")
+@query(f"WITH {X.BARS}, {REGIME_SQL} SELECT t, CAST(coalesce(vb, -1) AS INTEGER) AS vol_bin, CAST(coalesce(tb, -1) AS INTEGER) AS trend_bin, CAST(coalesce(vb * 3 + tb, -1) AS INTEGER) AS regime FROM rg")
 def regime_bins(spark, d):
     rows = regime.labels(_ticks(spark, d))
-    return rows.select("t", F.col("vol_bin").cast("int").alias("vol_bin"), F.col("trend_bin").cast("int").alias("trend_bin"), F.col("regime").cast("int").alias("regime"))
+    known = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(-1)).alias(c)
+    return rows.select("t", known("vol_bin"), known("trend_bin"), known("regime"))
 
 
 _RG = REGIME_SQL.replace("f0 AS", "rf0 AS").replace("f0.*", "rf0.*").replace("FROM f0", "FROM rf0").replace(" f AS (", " rf AS (").replace("FROM f,", "FROM rf,").replace("FROM f)", "FROM rf)").replace("med AS", "rmed AS").replace(", med)", ", rmed)")
