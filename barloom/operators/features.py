@@ -1,8 +1,10 @@
 """Rolling-window features.
 
 A series is cut into blocks along time and every block gets the last bars of the one before as a halo,
-so windows run on (series, block) and one long series uses the whole cluster.  All features of a call
-share that one shuffle and sort.  Frames hold exactly w rows; before that a feature is null.
+so windows run on (series, block) and one long series uses the whole cluster.  Within a block running
+sums of the inputs (less the block's first value, which keeps them small) are taken once; the moments
+of any window are then differences of two of them, whatever its width.  All features of a call share
+one shuffle and one sort.  Frames hold exactly w values; before that a feature is null.
 """
 
 from __future__ import annotations
@@ -15,48 +17,51 @@ from pyspark.sql import functions as F
 from barloom.functions.scalar import EPS, clip, safe_div
 
 #: Bars in one block.
-BLOCK = 16_384
+BLOCK = 4096
 
 
-def frame(w: int):
-    return Window.partitionBy("series_id", "_block").orderBy("t").rowsBetween(-(max(w, 1) - 1), 0)
+def _order():
+    return Window.partitionBy("series_id", "_block").orderBy("t")
 
 
-def rolling_mean(x: Column, w: int) -> Column:
-    """Mean of the last w values, null until there are w; the value itself for w <= 1."""
+def _last(total: str, w: int) -> Column:
+    """Of a running sum, the part of the last w rows."""
+    return F.col(total) - F.coalesce(F.lag(total, w).over(_order()), F.lit(0))
+
+
+def rolling_mean(x: str, w: int) -> Column:
+    """Mean of the last w values of input x, null until there are w; the value itself for w <= 1."""
     if w <= 1:
-        return x.cast("double")
-    return F.when(F.count(x).over(frame(w)) == w, F.avg(x).over(frame(w)))
+        return F.col(f"_{x}")
+    return F.when(_last(f"_n_{x}", w) == w, F.col(f"_0_{x}") + _last(f"_1_{x}", w) / w)
 
 
-def rolling_std(x: Column, w: int) -> Column:
+def rolling_std(x: str, w: int) -> Column:
     """Population standard deviation of the last w values; null for w <= 1."""
     if w <= 1:
         return F.lit(None).cast("double")
-    return F.when(F.count(x).over(frame(w)) == w, F.stddev_pop(x).over(frame(w)))
+    mean = _last(f"_1_{x}", w) / w
+    return F.when(_last(f"_n_{x}", w) == w, F.sqrt(F.greatest(F.lit(0.0), _last(f"_2_{x}", w) / w - mean * mean)))
 
 
 def momentum(w: int) -> Column:
-    r = F.col("_ret")
-    return clip(rolling_mean(r, w) / (rolling_std(r, w) + EPS), -6.0, 6.0)
+    return clip(rolling_mean("ret", w) / (rolling_std("ret", w) + EPS), -6.0, 6.0)
 
 
 def reversion(w: int) -> Column:
-    x = F.col("_close")
-    return clip(-(x - rolling_mean(x, w)) / (rolling_std(x, w) + EPS), -6.0, 6.0)
+    return clip(-(F.col("_close") - rolling_mean("close", w)) / (rolling_std("close", w) + EPS), -6.0, 6.0)
 
 
 def volume_score(w: int) -> Column:
-    x = F.col("_volume")
-    return clip((x - rolling_mean(x, w)) / (rolling_std(x, w) + EPS), -6.0, 6.0)
+    return clip((F.col("_volume") - rolling_mean("volume", w)) / (rolling_std("volume", w) + EPS), -6.0, 6.0)
 
 
 def volatility(w: int) -> Column:
     """The rolling deviation of returns; ``features`` relates it to its median."""
-    return rolling_std(F.col("_ret"), w)
+    return rolling_std("ret", w)
 
 
-#: name -> (builder of the windowed expression, bars that it looks back beyond the current one)
+#: name -> builder of the windowed expression
 REGISTRY: dict[str, Callable[[int], Column]] = {"mom_ir": momentum, "mr_z": reversion, "vol_s": volatility, "volu_z": volume_score}
 
 
@@ -73,11 +78,21 @@ def blocked(bars: DataFrame, halo: int, block: int = BLOCK) -> DataFrame:
     return bars.withColumn("_c", F.explode(copies)).withColumns({"_block": F.col("_c")["b"], "_halo": F.col("_c")["h"]}).drop("_c")
 
 
-def with_inputs(bars: DataFrame, halo: int, block: int = BLOCK) -> DataFrame:
-    """Blocked bars with close, volume and backward return as doubles."""
+def with_inputs(bars: DataFrame, halo: int, block: int = BLOCK, inputs: tuple[str, ...] = ("close", "ret", "volume")) -> DataFrame:
+    """Blocked bars with close, volume and backward return as doubles, and the running sums of ``inputs``."""
     rows = blocked(bars, halo, block).withColumns({"_close": F.col("close").cast("double"), "_volume": F.col("volume").cast("double")})
-    before = F.lag("_close").over(Window.partitionBy("series_id", "_block").orderBy("t"))
-    return rows.withColumn("_ret", safe_div(F.col("_close"), before) - 1)
+    rows = rows.withColumn("_ret", safe_div(F.col("_close"), F.lag("_close").over(_order())) - 1)
+    upto = _order().rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_0_{x}": F.coalesce(F.first(f"_{x}", ignorenulls=True).over(upto), F.lit(0.0)) for x in inputs})
+    sums = {}
+    for x in inputs:
+        away = F.coalesce(F.col(f"_{x}") - F.col(f"_0_{x}"), F.lit(0.0))
+        sums |= {f"_n_{x}": F.count(f"_{x}").over(upto), f"_1_{x}": F.sum(away).over(upto), f"_2_{x}": F.sum(away * away).over(upto)}
+    return rows.withColumns(sums)
+
+
+#: Inputs of each feature.
+INPUTS = {"mom_ir": "ret", "mr_z": "close", "vol_s": "ret", "volu_z": "volume"}
 
 
 def features(bars: DataFrame, wanted: list[tuple[str, int]], block: int = BLOCK, trends: list[int] | None = None) -> DataFrame:
@@ -90,8 +105,9 @@ def features(bars: DataFrame, wanted: list[tuple[str, int]], block: int = BLOCK,
         raise ValueError(f"unknown features: {unknown}")
     wanted, trends = list(dict.fromkeys(wanted)), trends or []
     halo = max([w for _, w in wanted] + [max(1, w) for w in trends] + [1]) + 1
-    rows = with_inputs(bars, halo, block)
-    rows = rows.select("*", *[REGISTRY[n](w).alias(f"_f_{column(n, w)}") for n, w in wanted], *[rolling_mean(F.col("_ret"), max(1, w)).alias(f"trend_{w}") for w in trends])
+    used = {INPUTS[n] for n, _ in wanted} | ({"ret"} if trends else set())
+    rows = with_inputs(bars, halo, block, tuple(sorted(used)))
+    rows = rows.select("*", *[REGISTRY[n](w).alias(f"_f_{column(n, w)}") for n, w in wanted], *[rolling_mean("ret", max(1, w)).alias(f"trend_{w}") for w in trends])
     rows = rows.where(~F.col("_halo"))
     vols = [column(n, w) for n, w in wanted if n == "vol_s"]
     if vols:

@@ -121,14 +121,14 @@ def demo_ohlcv(spark, d):
 @query(f"WITH {X.BARS} SELECT t, {rs(X.mean_sql('c', 20), 'mean_20')}, {rs('c', 'mean_1')} FROM inp")
 def rolling_means(spark, d):
     rows = with_inputs(_ticks(spark, d), 21)
-    rows = rows.select("t", "_halo", rolling_mean(F.col("_close"), 20).alias("mean_20"), rolling_mean(F.col("_close"), 1).alias("mean_1")).where(~F.col("_halo"))
+    rows = rows.select("t", "_halo", rolling_mean("close", 20).alias("mean_20"), rolling_mean("close", 1).alias("mean_1")).where(~F.col("_halo"))
     return rows.select("t", r("mean_20"), r("mean_1"))
 
 
 @query(f"WITH {X.BARS} SELECT t, {rs(X.std_sql('c', 20), 'std_20')}, CAST(NULL AS DOUBLE) AS std_1 FROM inp")
 def rolling_std_pop(spark, d):
     rows = with_inputs(_ticks(spark, d), 21)
-    rows = rows.select("t", "_halo", rolling_std(F.col("_close"), 20).alias("std_20"), rolling_std(F.col("_close"), 1).alias("std_1")).where(~F.col("_halo"))
+    rows = rows.select("t", "_halo", rolling_std("close", 20).alias("std_20"), rolling_std("close", 1).alias("std_1")).where(~F.col("_halo"))
     return rows.select("t", r("std_20"), r("std_1"))
 
 
