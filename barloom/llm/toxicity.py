@@ -6,8 +6,8 @@ pairs of terms (an insult and the mention of a group) move the score beyond the
 Training is proximal: weights and vectors without evidence are exactly zero, and only slots with
 evidence are broadcast.
 
-Training reads a bounded sample of the labelled rows (``sample`` rows, those of the smallest hash of
-id and text); scores cover every whole text.  Null and empty texts have no terms and get the score of the bias.
+All labelled rows decide which slots have evidence; the gradient steps read a bounded sample of them
+(``sample`` rows, those of the smallest hash of id and text).  Scores cover every whole text.  Null and empty texts have no terms and get the score of the bias.
 Rows are independent: repeated rows, ties, null ids and further columns change nothing.  An empty
 table gives an empty result; without labelled rows, or with one label only, every score is the share
 of toxic rows (0 without any).
@@ -26,10 +26,8 @@ from pyspark.sql import functions as F
 from barloom.llm.common import binary_text, slices
 
 SLOTS, FACTORS = 1 << 20, 4
-#: Labelled rows that training reads at most.
+#: Labelled rows that the gradient steps read at most.
 SAMPLE = 12_000
-#: Longest text of a training row, in bytes; longer rows are scored but not learned from.
-SAMPLE_BYTES = 20_000
 CACHE_SIZE = 500_000
 #: Least G statistic of a slot with evidence.
 SCREEN = 14.0
@@ -91,30 +89,23 @@ def _g_statistic(n1: np.ndarray, n: np.ndarray, total1: int, total: int) -> np.n
     return 2 * (part(n1, n * p) + part(n0, n * (1 - p)) + part(total1 - n1, rest * p) + part(rest - total1 + n1, rest * (1 - p)))
 
 
-def fit(indptr: np.ndarray, slots: np.ndarray, y: np.ndarray, epochs: int = 20, rate: float = 0.1, l1: float = 1e-5, seed: int = 7) -> Machine:
-    """Minibatch AdaGrad on the logistic loss, soft-thresholding weights and whole vectors after each step."""
+def fit(indptr: np.ndarray, slots: np.ndarray, y: np.ndarray, used: np.ndarray, epochs: int = 20, rate: float = 0.1, l1: float = 1e-5, seed: int = 7) -> Machine:
+    """Minibatch AdaGrad on the logistic loss, soft-thresholding weights and whole vectors after each step.
+
+    ``used``: the sorted slots with evidence; row d holds slots[indptr[d]:indptr[d + 1]], all of them used.
+    """
     share = float(y.mean()) if len(y) else 0.0
-    empty = np.zeros(0, np.int64)
     if share in (0.0, 1.0):
         p = min(max(share, 1e-12), 1 - 1e-12)
-        return Machine(float(np.log(p / (1 - p))), empty, np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32))
-    # Screening: slots whose presence depends on the label beyond chance, by the G statistic.
-    pairs = np.unique(np.repeat(np.arange(len(y)), np.diff(indptr)) * SLOTS + slots)
-    used, at = np.unique(pairs % SLOTS, return_inverse=True)
-    n1, n = np.bincount(at, y[pairs // SLOTS]), np.bincount(at)
-    often = (_g_statistic(n1, n, int(y.sum()), len(y)) >= SCREEN) & (n >= 2)
-    used = used[often]
-    doc = np.repeat(np.arange(len(y)), np.diff(indptr))
-    at = np.searchsorted(used, slots) if len(used) else np.zeros(len(slots), np.int64)
-    keep = used[np.minimum(at, len(used) - 1)] == slots if len(used) else np.zeros(len(slots), bool)
-    doc, at = doc[keep], at[keep]
+        return Machine(float(np.log(p / (1 - p))), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32))
+    doc, at = np.repeat(np.arange(len(y)), np.diff(indptr)), np.searchsorted(used, slots)
     start = np.searchsorted(doc, np.arange(len(y) + 1))
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(used)), rng.normal(0, 0.05, (len(used), FACTORS))
     gw, gv = np.full(len(used), 1e-2), np.full(len(used), 1e-2)
     bias, gb = np.log(share / (1 - share)), 1e-2
     ever = np.zeros(len(used), bool)  # a vector counts once its slot's weight has moved from zero
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-1500 * 128 // max(1, len(y))))):
         order = rng.permutation(len(y))
         for a in range(0, len(y), 128):
             d = order[a : a + 128]
@@ -149,24 +140,74 @@ def fit(indptr: np.ndarray, slots: np.ndarray, y: np.ndarray, epochs: int = 20,
     return Machine(float(bias), used[kept].astype(np.int64), w[kept].astype(np.float32), (v * ever[:, None])[kept].astype(np.float32))
 
 
+def _features(of: dict[bytes, list[int]], text: bytes) -> list[int]:
+    out: list[int] = []
+    for w in words(text):
+        got = of.get(w)
+        if got is None:
+            if len(of) >= CACHE_SIZE:
+                of.clear()
+            got = of[w] = terms(w)
+        out += got
+    return out
+
+
+def evidence(labelled: DataFrame, screen: float = SCREEN) -> np.ndarray:
+    """Slots whose presence in a text depends on the label beyond chance, by the G statistic over all rows.
+
+    Every task adds up its own counts; at most SLOTS of them meet.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: dict[bytes, list[int]] = {}
+        n = np.zeros((2, SLOTS), np.int32)
+        for batch in batches:
+            labels = batch.column(batch.schema.get_field_index("label")).to_pylist()
+            for y, t in zip(labels, binary_text(batch), strict=True):
+                n[y][np.unique(np.array(_features(of, t), np.int64))] += 1
+        at = np.flatnonzero(n.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[0, at], pa.int64()), pa.array(n[1, at], pa.int64())], ["slot", "n0", "n1"])
+
+    per = labelled.select("text", "label").mapInArrow(run, "slot int, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    totals = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    t1, t = totals.get(1, 0), totals.get(0, 0) + totals.get(1, 0)
+    if not t1 or t1 == t:
+        return np.zeros(0, np.int64)
+    got = per.where(F.col("n0") + F.col("n1") > 1)
+    # A slot without a link to the label beyond a generous bound never leaves the executors.
+    lift = F.abs(F.col("n1") / (F.col("n0") + F.col("n1")) - F.lit(t1 / t)) * F.sqrt((F.col("n0") + F.col("n1")) / F.lit(t1 / t * (1 - t1 / t)))
+    got = got.where(lift > 1.0).toArrow()
+    n0, n1 = got.column("n0").to_numpy(), got.column("n1").to_numpy()
+    strong = _g_statistic(n1.astype(float), (n0 + n1).astype(float), t1, t) >= screen
+    return np.sort(got.column("slot").to_numpy()[strong].astype(np.int64))
+
+
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Machine:
-    """A machine from rows (text, label); reads at most ``sample`` rows, the same ones on every run."""
-    rows = labelled.where(F.col("label").isin(0, 1) & (F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES))
-    rows = rows.select("text", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id", "text").alias("_h"))
-    chosen = rows.orderBy("_h", "text", "label").limit(sample)
+    """A machine from rows (text, label).  All of them decide which slots have evidence; the gradient
+    steps read at most ``sample`` rows, the same ones on every run."""
+    rows = labelled.where(F.col("label").isin(0, 1)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
+    used = evidence(rows)
+    shared = labelled.sparkSession.sparkContext.broadcast(used)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: dict[bytes, list[int]] = {}
         for batch in batches:
-            lists = [sorted(t for w in words(x) for t in terms(w)) for x in binary_text(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("label")), pa.array(lists, pa.list_(pa.int32()))], ["label", "slots"])
-
-    got = chosen.select("text", "label").mapInArrow(featurise, "label int, slots array<int>").toArrow()
-    lists = got.column("slots").combine_chunks()
+            lists = []
+            for t in binary_text(batch):
+                x = np.sort(np.array(_features(of, t), np.int64))
+                i = np.searchsorted(shared.value, x)
+                lists.append(x[(i < len(shared.value)) & (shared.value[np.minimum(i, len(shared.value) - 1)] == x)] if len(shared.value) else x[:0])
+            get = lambda n: batch.column(batch.schema.get_field_index(n))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([get("h"), get("label"), pa.array(lists, pa.list_(pa.int32()))], ["h", "label", "slots"])
+
+    hashed = rows.select(F.xxhash64("doc_id", "text").alias("h"), "text", "label")
+    got = hashed.mapInArrow(featurise, "h long, label int, slots array<int>").orderBy("h", "label").limit(sample).toArrow()
     if len(got) == 0:
-        return fit(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return fit(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), used)
+    lists = got.column("slots").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     indptr = lists.offsets.to_numpy().astype(np.int64)
-    return fit(indptr - indptr[0], lists.flatten().to_numpy().astype(np.int64), got.column("label").to_numpy().astype(np.float64))
+    return fit(indptr - indptr[0], lists.flatten().to_numpy().astype(np.int64), got.column("label").to_numpy().astype(np.float64), used)
 
 
 def toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
