@@ -65,6 +65,14 @@ class Index:
         live, score = np.arange(len(queries)), np.zeros((len(queries), n))
         own = qids[:, None] == self.ids[None, :]
         found = []
+        # Scores that may saturate tie among themselves, which bounds can't tell: rescore every row.
+        huge = np.full(len(queries), self.wide) | (np.abs(queries).max(1, initial=0) > 2**20)
+        for j in np.flatnonzero(huge):
+            rows = np.flatnonzero(~own[j])
+            exact = self.exact(queries[j], rows)
+            best = np.array(sorted(range(len(rows)), key=lambda i: (-int(exact[i]), int(self.ids[rows[i]])))[:k], np.int64)  # noqa: B023
+            found.append((int(j), self.ids[rows][best], exact[best]))
+        live = live[~huge]
         for i, (below, values) in enumerate([(self.top + 1, None), *self.segments, (1.0, None)]):
             if values is not None:
                 score[live] += queries[live] @ values
