@@ -13,7 +13,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-SCHEMA = "strategy_miner.run_manifest.v1"
+SCHEMA = "barloom.run_manifest.v1"
 
 
 def now_utc() -> str:
