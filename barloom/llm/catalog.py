@@ -9,6 +9,10 @@ from barloom.llm import decontaminate, license_scan, line_dedup, lm_score, mixin
 from barloom.llm.common import crc_mod, table
 
 
+#: Labels (16 bytes each) that are broadcast at most.
+LABEL_ROWS = 1_000_000
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,6 +53,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_machine(docs: DataFrame, labels: DataFrame) -> toxicity.Machine:
     """Learned from the labelled rows outside the held-out third."""
     own = labels.select("doc_id", F.col("toxic").alias("label")).where(crc_mod(F.col("doc_id"), 3) != 1)
+    if own.count() <= LABEL_ROWS:  # else a shuffled join
+        own = F.broadcast(own)
     return toxicity.train(docs.select("doc_id", "text").join(own, "doc_id"))
 
 
