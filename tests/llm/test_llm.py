@@ -324,3 +324,22 @@ def test_op4_and_op9_equal_their_sql(spark):
         want = con.sql(sql)
         got = catalog.queries()[name](spark, DATA).select(*want.columns).collect()
         assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall())), name
+
+
+@needs_data
+def test_pipeline_stages_keep_columns_and_clean_documents(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60).withColumns({"hits": F.lit("h"), "score": F.lit("s"), "removed": F.lit("r")})
+    more = spark.createDataFrame([(10**6, "you worthless idiot scum"), (10**6 + 1, None), (None, "no id")], "doc_id long, text string")
+    docs = docs.unionByName(more, allowMissingColumns=True)
+    kept = P.drop_toxic(spark, docs, DATA)
+    assert kept.columns == docs.columns and kept.where("hits = 'h' and score = 's'").count() <= 60
+    clean = P.drop_contaminated(spark, kept, DATA)
+    assert clean.columns == docs.columns
+    want = brute_hits([(r.doc_id, r.text) for r in kept.collect()], [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()])
+    assert {r.doc_id for r in clean.collect()} == {i for i, x in want.items() if x[1] == 0}
+    near = P.drop_near_copies(spark, clean, DATA)
+    assert near.columns == docs.columns and near.where("doc_id is null").count() == 1
+    mixed = P.mix_sources(spark, near, DATA)
+    assert mixed.where("copies < 1 or copies > 2 or taken != copies * size").count() == 0
