@@ -49,11 +49,14 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
+        """Remove tables that no later plan reads, and let go of the shuffle files of finished plans,
+        which Spark deletes once the driver's garbage collector finds the plans unused."""
         for name in names:
             path = self._paths.pop(name, None)
             if path:
                 _delete(self.spark, path)
                 Scratch._left.pop(path, None)
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
