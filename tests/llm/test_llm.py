@@ -267,6 +267,24 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
 
 
+def test_line_dedup_meets_lines_with_typos(spark):
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    cases, rows = [(1, 1, 1.0), (3, 1, 0.9), (10, 1, 0.95), (20, 2, 0.95), (30, 3, 0.95), (60, 6, 0.95)], []
+    for c, (words, typos, _) in enumerate(cases):
+        for k in range(40):
+            one = ["".join(rng.choice(letters) for _ in range(rng.randrange(6, 10))) for _ in range(words)]
+            two = list(one)
+            for i in rng.sample(range(words), typos):
+                at = rng.randrange(len(two[i]))
+                two[i] = two[i][:at] + rng.choice(letters.replace(two[i][at], "")) + two[i][at + 1 :]
+            rows += [(100 * c + 2 * k, " ".join(one)), (100 * c + 2 * k + 1, " ".join(two))]
+    gone = [r.doc_id for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.removed]
+    assert all(i % 2 for i in gone)
+    for c, (_, _, least) in enumerate(cases):
+        assert sum(i // 100 == c for i in gone) >= least * 40, cases[c]
+
+
 @needs_data
 def test_lm_score(spark):
     P = pytest.importorskip("public_tokenizers")
