@@ -31,11 +31,12 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
-_HEXKEY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
+# Encoded texts of 16 bytes, the fewest that ``structure`` confirms, have 22 base64 or 32 hex digits.
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{22,}={0,2}")
+_HEXKEY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){16,}(?![0-9A-Fa-f])")
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----([A-Za-z0-9+/=\s]*)-----END \1PRIVATE KEY-----")
-# Any place where a run of 24 characters of the base64 alphabets begins.
-_RUN = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24}")
+# Any place where a run of 22 characters of the base64 alphabets begins.
+_RUN = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{22}")
 
 
 def base_spans(text: str, low: bytes | None = None) -> list[tuple[str, int, int]]:
