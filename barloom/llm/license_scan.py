@@ -13,6 +13,7 @@ an empty result.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,13 +119,14 @@ _GRANTS = ["licensed", "released", "distributed", "available", "published", "cov
 def rules() -> list[tuple[int, str, list[str], str]]:
     """Signatures as (priority, label, keywords, regex over words), most specific first.
 
-    A signature is tried on texts that hold all its keywords.  Priorities: 0 sentences, 1 a name
+    A signature is tried on texts that hold all its keywords, which every match holds.  Priorities: 0 sentences, 1 a name
     with its version, 2 a name with a word of licensing.
     """
-    out = [(0, label, [key, *(w for w in rx.split(" ") if w.isalnum() and len(w) > 5)][:3], rx) for label, key, rx in _SENTENCES]
-    for label, key, names, versions in _FAMILIES:
+    always = lambda rx: re.sub(r"\(\?:[^)]*\)\??", "|", rx).split(" ")
+    out = [(0, label, [key, *(w for w in always(rx) if w.isalnum() and len(w) > 5)][:3], rx) for label, key, rx in _SENTENCES]
+    for label, _, names, versions in _FAMILIES:
         for name in names:
-            own = [key, *name.split()]
+            own = name.split()
             for v in versions:
                 out.append((1, label, own, f"{name}(?: {_LICENSE})?(?: version| ver)?(?: v)? {v}"))
                 out.append((1, label, own, f"{name}(?: {_LICENSE})?(?: version)? v{v}"))
@@ -199,7 +201,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     known = F.array_intersect(F.col("_a"), F.array(*[F.lit(x) for x in keys]))
     rows = rows.select("doc_id", "_w", (F.size("_a") - 2).alias("_n"), known.alias("_present"))
     n_words = F.when(F.col("_w") == " ", F.lit(0)).otherwise(F.col("_n")).cast("bigint")
-    rows = rows.select("doc_id", n_words.alias("n_words"), "_present", F.when(F.size("_present") > 1, F.col("_w")).alias("_k"))
+    rows = rows.select("doc_id", n_words.alias("n_words"), "_present", F.when(F.size("_present") > 0, F.col("_w")).alias("_k"))
 
     rule = _literal([(p, label, own, rx) for p, label, own, rx in _RULES])
     first = _literal([(0, label, phrase.split(), phrase) for phrase, label in BASE.items()])

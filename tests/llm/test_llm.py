@@ -88,6 +88,20 @@ def test_license_scan(spark):
     assert [(x.label, x.start, x.end) for x in got[len(TRICKY) + 5].found] == [("proprietary", 0, 3)]
 
 
+def test_every_license_rule_fires_on_its_own_match(spark):
+    def matches(rx):
+        """Matches without the optional parts, one for each alternative."""
+        rx = re.sub(r"\(\?:[^)]*\)\?", "", rx).replace("licen[cs]e", "license").replace(" ?", " ")
+        m = re.search(r"\(\?:([^)]*)\)", rx)
+        return [x for a in m[1].split("|") for x in matches(rx[: m.start()] + a + rx[m.end() :])] if m else [rx]
+
+    rows = [(label, rx, t) for _, label, _, rx in license_scan.rules() for t in matches(rx)]
+    assert all(re.fullmatch(rx, t) for _, rx, t in rows)
+    docs = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(rows)], "doc_id long, text string").repartition(4)
+    found = {r.doc_id: {x.label for x in r.found} for r in license_scan.license_scan(docs).collect()}
+    assert [rows[i] for i in found if rows[i][0] not in found[i]] == []
+
+
 def test_toxicity_learns_pairs_and_words(spark):
     rng = random.Random(1)
     vocabulary = [f"w{k}" for k in range(300)]
