@@ -112,7 +112,7 @@ def csv_defaults(spark, d):
 
 @query()
 def demo_ohlcv(spark, d):
-    return B.demo(spark, 8000)
+    return B.demo(spark)
 
 
 # ---------------------------------------------------------------- features
@@ -206,9 +206,9 @@ def trade_meta(spark, d):
     return m.select("genome_id", "slice_id", r("turnover_sum"), r("turnover_mean"), "trades", "active_bars", r("exposure"))
 
 
-@query(f"WITH {X.positions_sql({0, 4})}, {X.slices_sql(WHOLE_SQL)}, {X.metrics_sql()} SELECT CAST(gid AS BIGINT) AS genome_id, t, {rs('ln(eq)', 'log_equity')}, {rs('dd', 'drawdown')} FROM m1")
+@query(f"WITH {X.positions_sql()}, {X.slices_sql(WHOLE_SQL)}, {X.metrics_sql()} SELECT CAST(gid AS BIGINT) AS genome_id, t, {rs('ln(eq)', 'log_equity')}, {rs('dd', 'drawdown')} FROM m1")
 def equity_curve(spark, d):
-    rows = backtest.equity(_backtest(spark, d, _whole, {0, 4}))
+    rows = backtest.equity(_backtest(spark, d, _whole))
     return rows.select("genome_id", "t", r(F.log("equity"), "log_equity"), r("drawdown"))
 
 
@@ -257,19 +257,18 @@ def wf_dominance(spark, d):
     return validate.walkforward(_backtest(spark, d, _th), X.BAR_SECONDS).select("genome_id", "slice_id", r("dominance"))
 
 
-_CV_IDS = {0, 1, 4, 5}
 _CV_ROWS = " UNION ALL ".join(
     f"SELECT printf('%04d', CAST(i AS INTEGER)) || ':{name}' AS sid, st + i * seg AS lo, CASE WHEN i < k - 1 THEN st + (i + 1) * seg ELSE n END - 1 AS hi, {delay} AS delay, {mult} AS mult, gid FROM cvk, range(0, 99) tt(i) WHERE i < k AND seg >= 800"
     for name, delay, mult in (("base", 0, 1.0), ("delay", 1, 1.0), ("cost", 0, 3.0))
 )
-_CVK = f"""wu(gid, w) AS (VALUES {', '.join(f"({i}, {max([w for _, w, _ in parts] + [gt[1]]) + 3})" for i, parts, _, gt in X.GENOMES if i in _CV_IDS)}),
+_CVK = f"""wu(gid, w) AS (VALUES {', '.join(f"({i}, {max([w for _, w, _ in parts] + [gt[1]]) + 3})" for i, parts, _, gt in X.GENOMES)}),
 cv0 AS (SELECT gid, n, least(w, n - 2) AS st, n - least(w, n - 2) AS ne FROM wu, (SELECT count(*) AS n FROM bars)),
 cvk AS (SELECT *, ne // k AS seg FROM (SELECT *, CASE WHEN ne < 5 * 800 THEN greatest(2, ne // 800) ELSE 5 END AS k FROM cv0))"""
-_CV = f"WITH {X.positions_sql(_CV_IDS)}, {_CVK}, {X.slices_sql(_CV_ROWS)}, {X.metrics_sql()}"
+_CV = f"WITH {X.positions_sql()}, {_CVK}, {X.slices_sql(_CV_ROWS)}, {X.metrics_sql()}"
 
 
 def _cv(spark, d):
-    return validate.cv_folds(_positions(spark, d, _CV_IDS), _sizes(spark, d), X.genomes(spark, _CV_IDS), X.CONFIG, X.BAR_SECONDS)
+    return validate.cv_folds(_positions(spark, d), _sizes(spark, d), X.genomes(spark), X.CONFIG, X.BAR_SECONDS)
 
 
 @query(f"{_CV} SELECT CAST(gid AS BIGINT) AS genome_id, CAST(split_part(sid, ':', 1) AS INTEGER) AS fold, split_part(sid, ':', 2) AS scenario, {rs('sharpe', 'sharpe')}, {rs('max_drawdown', 'max_drawdown')} FROM (SELECT *, mdd AS max_drawdown FROM m) WHERE ok")
@@ -291,9 +290,9 @@ _STRESS = " UNION ALL ".join(
 )
 
 
-@query(f"WITH {X.positions_sql({0, 4})}, {Z_SQL}, {X.slices_sql(_STRESS)}, {X.metrics_sql()} SELECT CAST(gid AS BIGINT) AS genome_id, sid AS slice_id, {rs('sharpe', 'sharpe')}, {rs('log_equity', 'log_equity')}, {rs('mdd', 'max_drawdown')} FROM m")
+@query(f"WITH {X.positions_sql()}, {Z_SQL}, {X.slices_sql(_STRESS)}, {X.metrics_sql()} SELECT CAST(gid AS BIGINT) AS genome_id, sid AS slice_id, {rs('sharpe', 'sharpe')}, {rs('log_equity', 'log_equity')}, {rs('mdd', 'max_drawdown')} FROM m")
 def stress_grid(spark, d):
-    g = validate.stress_grid(_positions(spark, d, {0, 4}), _sizes(spark, d), X.COSTS, X.BAR_SECONDS, 0.20)
+    g = validate.stress_grid(_positions(spark, d), _sizes(spark, d), X.COSTS, X.BAR_SECONDS, 0.20)
     return g.select("genome_id", "slice_id", r("sharpe"), r("log_equity"), r("max_drawdown"))
 
 
@@ -313,14 +312,14 @@ def regime_bins(spark, d):
 
 
 _RG = REGIME_SQL.replace("f0 AS", "rf0 AS").replace("f0.*", "rf0.*").replace("FROM f0", "FROM rf0").replace(" f AS (", " rf AS (").replace("FROM f,", "FROM rf,").replace("FROM f)", "FROM rf)").replace("med AS", "rmed AS").replace(", med)", ", rmed)")
-ATTR_SQL = f"""WITH {X.positions_sql({0, 1, 4, 5})}, {X.slices_sql(WHOLE_SQL)}, {_RG},
+ATTR_SQL = f"""WITH {X.positions_sql()}, {X.slices_sql(WHOLE_SQL)}, {_RG},
 att AS (SELECT gid, vb * 3 + tb AS rid, count(*) AS bars, sum((pos <> 0)::INT) AS active, sum(pnl) AS s, avg(pnl) AS mu, stddev_pop(pnl) AS sd FROM q JOIN rg USING (t) WHERE pnl IS NOT NULL AND vb * 3 + tb IS NOT NULL GROUP BY 1, 2),
 ar AS (SELECT g.gid, i.rid, coalesce(bars, 0) AS bars, coalesce(active, 0) AS active_bars, coalesce(active / bars, 0.0) AS exposure, coalesce(s, 0.0) AS pnl_sum, coalesce(mu, 0.0) AS pnl_mean, CASE WHEN sd > 1e-12 THEN mu / sd * sqrt(CAST(365.25 AS DOUBLE)) ELSE 0.0 END AS sharpe
   FROM (SELECT DISTINCT gid FROM q) g CROSS JOIN range(0, 9) i(rid) LEFT JOIN att ON att.gid = g.gid AND att.rid = i.rid)"""
 
 
 def _attribution(spark, d):
-    return regime.attribution(_backtest(spark, d, _whole, {0, 1, 4, 5}), regime.labels(_ticks(spark, d)), X.BAR_SECONDS)
+    return regime.attribution(_backtest(spark, d, _whole), regime.labels(_ticks(spark, d)), X.BAR_SECONDS)
 
 
 @query(f"{ATTR_SQL} SELECT CAST(gid AS BIGINT) AS genome_id, CAST(rid AS INTEGER) AS rid, CAST(bars AS BIGINT) AS bars, CAST(active_bars AS BIGINT) AS active_bars, {rs('exposure', 'exposure')}, {rs('pnl_sum', 'pnl_sum')}, {rs('pnl_mean', 'pnl_mean', 9)}, {rs('sharpe', 'sharpe')} FROM ar")

@@ -42,3 +42,18 @@ def test_queries_match_their_sql(spark, name):
     got = e.queries()[name](spark, DATA).select(*columns).collect()
     norm = lambda rows: sorted(repr(tuple(round(float(v), 6) if isinstance(v, (int, float)) else v for v in r)) for r in rows)
     assert norm(got) == norm(want.project(", ".join(f'"{c}"' for c in columns)).fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["cv_summary", "regime_summary", "stress_grid"])
+def test_queries_take_every_genome(spark, name):
+    import __spark_entry__ as e
+    from barloom.plans.fixtures import GENOMES
+
+    assert {r.genome_id for r in e.queries()[name](spark, DATA).select("genome_id").collect()} == {i for i, *_ in GENOMES}
+
+
+def test_demo_has_its_default_size(spark):
+    import __spark_entry__ as e
+
+    assert e.queries()["demo_ohlcv"](spark, DATA).count() == 120_000
