@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Target of words per in-worker slice of an Arrow batch, in bytes of text.
 SLICE_BYTES = 1 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,18 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: ``spark.checkpoint.dir``, set here only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="barloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    """The shared folder for cut lineage: ``spark.checkpoint.dir``, or where it is unset the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return root.rstrip("/")
 
 
 class Scratch:
     """Written tables under the shared folder; each cuts lineage and survives lost executors.
 
-    ``drop`` removes tables that no later plan reads; what remains goes when the driver ends.
+    Once a table is written, the shuffle files of its plan go.  ``drop`` removes tables that no later
+    plan reads; what remains goes when the driver ends.
     """
 
     _left: dict[str, SparkSession] = {}
@@ -43,20 +41,25 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(_CLEANUP, None)
+        try:
+            if before is not None:  # known from Spark 4.1 on
+                self.spark.conf.set(_CLEANUP, "true")
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            if before is not None:
+                self.spark.conf.set(_CLEANUP, before)
         self._paths[name] = path
         Scratch._left[path] = self.spark
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Remove tables that no later plan reads, and let go of the shuffle files of finished plans,
-        which Spark deletes once the driver's garbage collector finds the plans unused."""
+        """Remove tables that no later plan reads."""
         for name in names:
             path = self._paths.pop(name, None)
             if path:
                 _delete(self.spark, path)
                 Scratch._left.pop(path, None)
-        self.spark.sparkContext._jvm.System.gc()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
