@@ -310,8 +310,8 @@ def test_line_dedup_meets_lines_with_typos(spark):
 def test_lm_score(spark):
     P = pytest.importorskip("public_tokenizers")
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(10**6, None), (None, "")], "doc_id long, text string"))
-    whole = lm_score.lm_score(docs, P.path("word_bpe_49k.json"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, 40, 60).collect()
-    split = lm_score.lm_score(docs, P.path("word_bpe_49k.json"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, 40, 60, 50).collect()
+    whole = lm_score.lm_score(docs, P.path("word_bpe_49k.json"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, 60).collect()
+    split = lm_score.lm_score(docs, P.path("word_bpe_49k.json"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, 60, 50).collect()
     words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
     texts = [(r.doc_id, r.text) for r in docs.collect()]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
@@ -335,21 +335,70 @@ def test_lm_score(spark):
 def test_attention_windows_score_each_piece_once():
     lengths = np.array([1, 15, 16, 17, 40])
     at, ok = lm_score.windows(lengths)
-    scored = at[:, lm_score.HALF :][ok]
+    scored = at[:, lm_score.LATE :][ok]
     assert sorted(scored.tolist()) == list(range(int(lengths.sum())))
 
 
-def test_attention_probabilities_add_up():
-    rng = np.random.default_rng(1)
+def _small_model(seed: int, wide: float = 0.3):
+    rng = np.random.default_rng(seed)
     counts = np.zeros(lm_score.PIECES, np.int64)
     counts[:50] = rng.integers(1, 100, 50)
     counts[lm_score.END] = 5
-    seqs = [np.r_[rng.integers(0, 50, 40), lm_score.END] for _ in range(20)]
-    m = lm_score.train(seqs, counts, 30)
-    shares = np.bincount(m.cls, np.exp(m.log_share), lm_score.CLASSES)
-    used = np.bincount(m.cls, minlength=lm_score.CLASSES) > 0
-    assert np.allclose(shares[used], 1)
-    assert np.isfinite(lm_score.piece_scores(m.tables(), m, seqs[0], np.array([41]))).all()
+    slot = lm_score.slots(counts)
+    cls = (np.arange(lm_score.OWN + lm_score.SHARED) % lm_score.CLASSES)[slot]
+    in_class, members = np.bincount(cls, counts, lm_score.CLASSES), np.bincount(cls, minlength=lm_score.CLASSES)
+    log_share = np.log((counts + 0.1) / (in_class + 0.1 * members)[cls])
+    w = lm_score.first_weights(in_class, seed)
+    w["bias"] = rng.normal(0, wide, lm_score.CONTEXT).astype(np.float32)
+    return lm_score.Attention(w, slot, cls, log_share), rng
+
+
+def test_attention_scores_equal_a_plain_loop():
+    for seed, wide in ((1, 0.3), (2, 80.0)):  # the second leaves exp's range unless the largest goes off first
+        m, rng = _small_model(seed, wide)
+        seqs = [np.r_[rng.integers(0, 50, n), lm_score.END] for n in (0, 1, 15, 16, 17, 60)]
+        got = lm_score.piece_scores(m.tables(), m, np.concatenate(seqs), np.array([len(s) for s in seqs]))
+        want = []
+        w = {k: v.astype(np.float64) for k, v in m.weights.items()}
+        for s in seqs:
+            inputs = np.r_[lm_score.END, s[:-1]]
+            for t in range(len(s)):
+                begin = max(0, t // lm_score.HALF * lm_score.HALF - lm_score.LATE)  # where t's window begins
+                x = w["E"][m.slot[inputs[begin : t + 1]]]
+                a = x @ w["K"] @ (x[-1] @ w["Q"]) / np.sqrt(lm_score.WIDTH) + w["bias"][np.arange(t - begin, -1, -1)]
+                a = np.exp(a - a.max())
+                h = np.tanh(x[-1] @ w["X"] + (a / a.sum()) @ (x @ w["V"]) @ w["O"] + w["h"])
+                g = h @ w["U"] + w["c"]
+                want.append(g[m.cls[s[t]]] - np.log(np.exp(g).sum()) + m.log_share[s[t]])
+        assert np.allclose(got, want, atol=2e-4)
+        shares = np.bincount(m.cls, np.exp(m.log_share), lm_score.CLASSES)
+        assert np.allclose(shares, 1)
+
+
+@needs_data
+def test_attention_learns(spark):
+    """Held-out pieces are likelier than by their counts alone."""
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("word_bpe_49k.json")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    counts = lm_score.word_counts(docs.where("doc_id % 5 > 0"))
+    by_piece = lm_score.piece_counts(counts, path)
+    by_piece[lm_score.END] = docs.count()
+    windows = lm_score.training_windows(docs.where("doc_id % 5 > 0"), path)
+    m = lm_score.train(spark, windows, by_piece, 400)
+    tok = lm_score.tokenizer(path)
+    words = [w for r in docs.where("doc_id % 5 = 0").select("text").collect() for w in lm_score.split_words((r.text or "").encode())]
+    seq = np.array([i for p in lm_score.pieces(tok, words) for i in p] + [lm_score.END])
+    own = lm_score.piece_scores(m.tables(), m, seq, np.array([len(seq)])).mean()
+    alone = np.log((by_piece[seq] + 0.1) / (by_piece + 0.1).sum()).mean()
+    print("attention", own, "counts", alone)
+    assert own > alone + 0.15
+
+
+def test_lm_score_of_no_rows(spark):
+    P = pytest.importorskip("public_tokenizers")
+    df = spark.createDataFrame([], "doc_id long, text string, score double")
+    assert lm_score.lm_score(df, P.path("word_bpe_49k.json"), F.lit(False)).count() == 0
 
 
 @needs_data
