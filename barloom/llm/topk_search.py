@@ -12,8 +12,9 @@ The queries stream past each block, so a task holds one block and one batch.  Ev
 each block meet in one ranking.
 
 Vectors that are null or hold null or non-finite components take no part, nor do rows without an id.
-Vectors meet those of their own length only.  Of rows that repeat an id the vector of smallest hash
-counts.  Ties go to the smaller id.  Scores past 64 bits saturate.  Further columns change nothing;
+Vectors meet those of their own length only.  Rows that repeat an id are queries and candidates of
+their own: a query leaves out its own row alone.  Ties go to the smaller id, and then to either row.
+Scores past 64 bits saturate.  Further columns change nothing;
 an empty table, or one without queries, gives an empty result.
 """
 
@@ -26,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SCALE, BLOCK, LEVELS, SEGMENTS = 1024.0, 512, 255, 16
+from barloom.llm.common import Scratch
+
+SCALE, BLOCK, LEVELS, SEGMENTS = 1024.0, 4096, 255, 16
 #: A query is rescored once so many times k rows remain possible.
 POSSIBLE = 4
 
@@ -34,9 +37,9 @@ POSSIBLE = 4
 class Index:
     """The segments of one block: masked matrices of quantised components, largest sizes first."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
+    def __init__(self, ids: np.ndarray, rids: np.ndarray, vectors: np.ndarray):
+        order = np.lexsort((rids, ids))
+        self.ids, self.rids, self.vectors = ids[order], rids[order], vectors[order]
         size = np.abs(self.vectors)
         top = float(size.max()) if size.size else 0.0
         self.step = max(1.0, np.ceil((top + 1) / (LEVELS + 1)))
@@ -58,12 +61,12 @@ class Index:
         q = [int(x) for x in query]
         return np.array([max(-most - 1, min(most, sum(a * int(b) for a, b in zip(q, v, strict=True)))) for v in self.vectors[rows]], np.int64)
 
-    def search(self, qids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(query number, ids, scores) of each query's k best rows here, best first, its own id left out."""
+    def search(self, qrids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(query number, ids, scores) of each query's k best rows here, best first, its own row left out."""
         n = len(self.ids)
         weight = np.abs(queries).sum(1)
         live, score = np.arange(len(queries)), np.zeros((len(queries), n))
-        own = qids[:, None] == self.ids[None, :]
+        own = qrids[:, None] == self.rids[None, :]
         found = []
         # Scores that may saturate tie among themselves, which bounds can't tell: rescore every row.
         huge = np.full(len(queries), self.wide) | (np.abs(queries).max(1, initial=0) > 2**20)
@@ -103,43 +106,43 @@ def _valid(v: Column) -> Column:
 
 def topk_search(vectors: DataFrame, is_query: Column, k: int = 10, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best rows for every row of which ``is_query`` holds."""
-    chosen = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), is_query.alias("q")).where(F.col("vec_id").isNotNull() & _valid(F.col("v")))
-    one = F.min(F.struct(F.xxhash64("v").alias("h"), F.col("v"), F.col("q"))).alias("x")
-    rows = chosen.groupBy("vec_id").agg(one).select("vec_id", F.col("x")["v"].alias("v"), F.coalesce(F.col("x")["q"], F.lit(False)).alias("q"))
-    n_blocks = max(1, -(-chosen.count() // block))
-    candidates = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("block"), F.lit(0).alias("side"), "vec_id", "v")
-    queries = rows.where("q").select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.lit(1).alias("side"), "vec_id", "v")
-    both = candidates.unionByName(queries).withColumn("dim", F.size("v")).repartition("block", "dim").sortWithinPartitions("block", "dim", "side", "vec_id")
+    chosen = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("vec_id").isNotNull() & _valid(F.col("v")))
+    rows = Scratch(vectors.sparkSession).write(chosen.withColumn("rid", F.monotonically_increasing_id()), "rows")
+    n_blocks = max(1, -(-rows.count() // block))
+    candidates = rows.select(F.pmod(F.xxhash64("rid"), F.lit(n_blocks)).cast("int").alias("block"), F.lit(0).alias("side"), "vec_id", "rid", "v")
+    queries = rows.where("q").select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.lit(1).alias("side"), "vec_id", "rid", "v")
+    both = candidates.unionByName(queries).withColumn("dim", F.size("v")).repartition("block", "dim").sortWithinPartitions("block", "dim", "side", "rid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, index = None, [], None
         for batch in batches:
             get = lambda n: batch.column(batch.schema.get_field_index(n))  # noqa: E731, B023
-            block_, dim, side, ids = (get(n).to_numpy(zero_copy_only=False) for n in ("block", "dim", "side", "vec_id"))
+            block_, dim, side, ids, rids = (get(n).to_numpy(zero_copy_only=False) for n in ("block", "dim", "side", "vec_id", "rid"))
             offsets = get("v").offsets.to_numpy()
             flat = get("v").values.to_numpy(zero_copy_only=False)
             change = np.flatnonzero(np.r_[True, (block_[1:] != block_[:-1]) | (dim[1:] != dim[:-1]) | (side[1:] != side[:-1])])
-            out: tuple[list, list, list, list] = ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [])
             for a, b in zip(change, np.r_[change[1:], len(ids)], strict=True):
                 if (block_[a], dim[a]) != at:
                     at, held, index = (block_[a], dim[a]), [], None
                 values = np.floor(SCALE * flat[offsets[a] : offsets[b]].reshape(b - a, dim[a]))
                 if side[a] == 0:
-                    held.append((ids[a:b], values))
+                    held.append((ids[a:b], rids[a:b], values))
                     continue
                 if not held:
                     continue
                 if index is None:
-                    index = Index(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
-                for lo in range(0, b - a, 256):
-                    qids = ids[a + lo : min(b, a + lo + 256)]
-                    for j, best, scores in index.search(qids, values[lo : lo + 256], k):
-                        out[0].extend([qids[j]] * len(best))
-                        out[1].extend(best.tolist())
-                        out[2].extend(scores.tolist())
+                    index = Index(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                for lo in range(0, b - a, 64):
+                    mine = slice(a + lo, min(b, a + lo + 64))
+                    for j, best, scores in index.search(rids[mine], values[lo : lo + 64], k):
+                        out[0].extend([rids[mine][j]] * len(best))
+                        out[1].extend([ids[mine][j]] * len(best))
+                        out[2].extend(best.tolist())
+                        out[3].extend(scores.tolist())
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out[:3]], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["query_rid", "query_id", "vec_id", "score"])
 
-    per_block = both.mapInArrow(run, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    per_block = both.mapInArrow(run, "query_rid long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("query_rid").orderBy(F.desc("score"), "vec_id")
     return per_block.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

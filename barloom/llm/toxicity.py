@@ -4,10 +4,12 @@ A text's terms are its distinct words and their stems of four to six letters, ha
 number of slots.  Beside a weight for each slot the machine learns a short vector for each, so that
 pairs of terms (an insult and the mention of a group) move the score beyond the sum of their weights.
 Training is proximal: weights and vectors without evidence are exactly zero, and only slots with
-evidence are broadcast.
+evidence are broadcast.  A slot has evidence by itself, or with another: of the ``PAIRED`` commonest
+words every pair is held against the label beyond what its two words say alone.
 
 All labelled rows decide which slots have evidence; the gradient steps read a bounded sample of them
-(``sample`` rows, those of the smallest hash of id and text).  Scores cover every whole text.  Null and empty texts have no terms and get the score of the bias.
+(``sample`` rows, those of the smallest hash of id and text).  Scores cover every whole text of any
+length, each in the memory of its task.  Null and empty texts have no terms and get the score of the bias.
 Rows are independent: repeated rows, ties, null ids and further columns change nothing.  An empty
 table gives an empty result; without labelled rows, or with one label only, every score is the share
 of toxic rows (0 without any).
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import binary_text, slices
+from barloom.llm.common import Scratch, binary_text, slices
 
 SLOTS, FACTORS = 1 << 20, 4
 #: Labelled rows that the gradient steps read at most.
@@ -31,6 +33,8 @@ SAMPLE = 12_000
 CACHE_SIZE = 500_000
 #: Least G statistic of a slot with evidence.
 SCREEN = 14.0
+#: Commonest words (in at most COMMON of all rows) whose pairs are screened, and the least G statistic of a pair.
+PAIRED, COMMON, PAIR_SCREEN = 256, 0.75, 25.0
 
 # A-Z lower-cased; whatever is neither letter, digit nor past ASCII is a gap.
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -153,33 +157,80 @@ def _features(of: dict[bytes, list[int]], text: bytes) -> list[int]:
 
 
 def evidence(labelled: DataFrame, screen: float = SCREEN) -> np.ndarray:
-    """Slots whose presence in a text depends on the label beyond chance, by the G statistic over all rows.
+    """Slots whose presence in a text depends on the label beyond chance, alone or in a pair, by G statistics over all rows.
 
     Every task adds up its own counts; at most SLOTS of them meet.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of: dict[bytes, list[int]] = {}
-        n = np.zeros((2, SLOTS), np.int32)
+        n, word = np.zeros((2, SLOTS), np.int32), np.zeros(SLOTS, bool)
         for batch in batches:
             labels = batch.column(batch.schema.get_field_index("label")).to_pylist()
             for y, t in zip(labels, binary_text(batch), strict=True):
                 n[y][np.unique(np.array(_features(of, t), np.int64))] += 1
+            word[[x[0] for x in of.values()]] = True
         at = np.flatnonzero(n.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[0, at], pa.int64()), pa.array(n[1, at], pa.int64())], ["slot", "n0", "n1"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[0, at], pa.int64()), pa.array(n[1, at], pa.int64()), pa.array(word[at])], ["slot", "n0", "n1", "word"])
 
-    per = labelled.select("text", "label").mapInArrow(run, "slot int, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    per = labelled.select("text", "label").mapInArrow(run, "slot int, n0 long, n1 long, word boolean")
+    per = Scratch(labelled.sparkSession).write(per.groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.max("word").alias("word")), "slots")
     totals = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     t1, t = totals.get(1, 0), totals.get(0, 0) + totals.get(1, 0)
     if not t1 or t1 == t:
         return np.zeros(0, np.int64)
-    got = per.where(F.col("n0") + F.col("n1") > 1)
+    n = F.col("n0") + F.col("n1")
     # A slot without a link to the label beyond a generous bound never leaves the executors.
-    lift = F.abs(F.col("n1") / (F.col("n0") + F.col("n1")) - F.lit(t1 / t)) * F.sqrt((F.col("n0") + F.col("n1")) / F.lit(t1 / t * (1 - t1 / t)))
-    got = got.where(lift > 1.0).toArrow()
+    lift = F.abs(F.col("n1") / n - F.lit(t1 / t)) * F.sqrt(n / F.lit(t1 / t * (1 - t1 / t)))
+    got = per.where((n > 1) & (lift > 1.0)).toArrow()
     n0, n1 = got.column("n0").to_numpy(), got.column("n1").to_numpy()
     strong = _g_statistic(n1.astype(float), (n0 + n1).astype(float), t1, t) >= screen
-    return np.sort(got.column("slot").to_numpy()[strong].astype(np.int64))
+    alone = got.column("slot").to_numpy()[strong].astype(np.int64)
+    common = per.where(F.col("word") & (n <= COMMON * t)).orderBy(n.desc(), "slot").limit(PAIRED).select("slot").toArrow().column("slot").to_numpy()
+    return np.union1d(alone, paired_evidence(labelled, np.sort(common.astype(np.int64)), t1, t))
+
+
+def paired_evidence(labelled: DataFrame, common: np.ndarray, t1: int, t: int) -> np.ndarray:
+    """Those of the slots that tell the label in a pair beyond what the two tell alone."""
+    shared = labelled.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, of = shared.value, {}
+        both = np.zeros((2, len(slots), len(slots)))
+        for batch in batches:
+            labels = np.array(batch.column(batch.schema.get_field_index("label")).to_pylist())
+            x = np.zeros((len(labels), len(slots)), np.float32)
+            for i, t in enumerate(binary_text(batch)):
+                terms_ = np.array(_features(of, t), np.int64)
+                at = np.minimum(np.searchsorted(slots, terms_), len(slots) - 1)
+                x[i, at[slots[at] == terms_]] = 1
+            for y in (0, 1):
+                both[y] += x[labels == y].T @ x[labels == y]
+        i, j = np.nonzero(np.triu(both.any(0)))
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(both[0, i, j].astype(np.int64)), pa.array(both[1, i, j].astype(np.int64))], ["i", "j", "n0", "n1"])
+
+    if len(common) < 2:
+        return np.zeros(0, np.int64)
+    got = labelled.select("text", "label").mapInArrow(run, "i long, j long, n0 long, n1 long").groupBy("i", "j").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    n = np.zeros((2, len(common), len(common)))
+    i, j = got.column("i").to_numpy(), got.column("j").to_numpy()
+    n[0, i, j], n[1, i, j] = got.column("n0").to_numpy(), got.column("n1").to_numpy()
+    i, j = np.triu_indices(len(common), 1)
+    one, two, both = n[:, i, i], n[:, j, j], n[:, i, j]
+    whole = np.array([t - t1, t1], float)[:, None]
+
+    def dependence(cells: list[np.ndarray]) -> np.ndarray:
+        """G statistic of the label against the cells (2, pairs) that split all rows."""
+        g = np.zeros(cells[0].shape[1])
+        for c in cells:
+            expected = c.sum(0) * whole / t
+            g += 2 * np.where(c > 0, c * np.log(np.maximum(c, 1e-12) / np.maximum(expected, 1e-12)), 0).sum(0)
+        return g
+
+    joint = dependence([both, one - both, two - both, whole - one - two + both])
+    beyond = joint - dependence([one, whole - one]) - dependence([two, whole - two])
+    strong = beyond >= PAIR_SCREEN
+    return np.union1d(common[i[strong]], common[j[strong]])
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Machine:

@@ -238,15 +238,15 @@ def test_topk_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(0, 0.2, 16)]) for i in range(600)]
     rows[5] = (5, rows[3][1])
-    rows += [(700, None), (701, [1.0, None]), (702, [float("nan")] * 16), (800, [0.5] * 3), (None, [0.1] * 16), (900, [3e30] * 16)]
+    rows += [(700, None), (701, [1.0, None]), (702, [float("nan")] * 16), (800, [0.5] * 3), (None, [0.1] * 16), (900, [3e30] * 16), (100, [0.9] * 16), (100, [0.9] * 16), (7, [0.8] * 16)]  # repeated ids are rows of their own
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = topk_search.topk_search(df, F.col("vec_id") % 100 == 0, 10, 64).collect()
-    whole = {i: [int(np.floor(1024.0 * x)) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    whole = [(i, [int(np.floor(1024.0 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     clamp = lambda x: max(-(2**63), min(2**63 - 1, x))
     want = []
-    for q, v in whole.items():
+    for at, (q, v) in enumerate(whole):
         if q % 100 == 0:
-            best = sorted((-clamp(sum(a * b for a, b in zip(v, w))), i) for i, w in whole.items() if i != q and len(w) == len(v))[:10]
+            best = sorted((-clamp(sum(a * b for a, b in zip(v, w))), i) for there, (i, w) in enumerate(whole) if there != at and len(w) == len(v))[:10]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
     assert topk_search.topk_search(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
@@ -306,6 +306,20 @@ def test_line_dedup_meets_lines_with_typos(spark):
         assert sum(i // 100 == c for i in gone) >= least * 40, cases[c]
 
 
+def test_toxicity_learns_a_pure_interaction(spark):
+    """Either word alone says nothing; one without the other is toxic."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(1800):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        filler = [f"w{rng.randrange(400)}" for _ in range(12)]
+        rows.append((i, " ".join(filler + ["fool"] * insult + ["tribe"] * group), int(insult != group)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    m = toxicity.train(df.where("doc_id < 1200"))
+    got = toxicity.toxicity(df.where("doc_id >= 1200"), m).collect()
+    assert sum((r.score >= 0.5) == r.label for r in got) >= 0.95 * len(got)
+
+
 @needs_data
 def test_lm_score(spark):
     P = pytest.importorskip("public_tokenizers")
