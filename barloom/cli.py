@@ -55,7 +55,8 @@ def _parser() -> argparse.ArgumentParser:
     a.add_argument("--hash")
     a.add_argument("--rank", type=int, default=1)
     a.add_argument("--bar-seconds", type=int)
-    a.add_argument("--holdout-frac", type=float, default=0.20)
+    for flag, (_, kind, default) in _AUDIT.items():
+        a.add_argument(f"--{flag}", type=kind, default=default)
     a.add_argument("--cost-bps", type=float, default=1.0)
     a.add_argument("--slippage-bps", type=float, default=0.5)
     a.add_argument("--cost-mults", default="1,2,3,5")
@@ -66,6 +67,12 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
+#: Options of an audit, their fields and defaults (fixed values).
+_AUDIT = {
+    "holdout-frac": ("holdout_frac", float, 0.20), "mdd-floor": ("mdd_floor", float, 0.02), "calmar-cap": ("calmar_cap", float, 25.0),
+    "cv-folds": ("cv_folds", int, 5), "cv-delay": ("cv_delay_bars", int, 1), "cv-min-fold-bars": ("cv_min_fold_bars", int, 800), "cv-cost-mult": ("stress_cost_mult", float, 3.0),
+    "regime-vol-window": ("regime_vol_window", int, 160), "regime-trend-window": ("regime_trend_window", int, 160), "regime-min-bars": ("regime_min_bars", int, 600), "regime-min-exp": ("regime_min_exposure", float, 0.03),
+}
 _EVAL = {
     "holdout-frac": ("holdout_frac", float), "min-exposure-train": ("min_exposure_train", float), "min-exposure-holdout": ("min_exposure_holdout", float), "min-trades-train": ("min_trades_train", int),
     "min-trades-holdout": ("min_trades_holdout", int), "stress-cost-mult": ("stress_cost_mult", float), "min-train-sharpe": ("min_train_sharpe", float), "min-holdout-sharpe": ("min_holdout_sharpe", float),
@@ -85,7 +92,7 @@ def _mine(args, spark: SparkSession) -> int:
         dataset_id, bars = B.prepare_demo(spark, args.cache, args.demo_bars, args.demo_bar_seconds, args.seed, args.force_rebuild_cache)
         seconds = args.demo_bar_seconds
     evaluation = EvalConfig(**{field: getattr(args, flag.replace("-", "_")) for flag, (field, _) in _EVAL.items()}, deep_validation=not args.no_deep, regime_enabled=not args.no_regime)
-    size = args.batch if args.batch > 0 else host.resources()["batch"]
+    size = args.batch if args.batch > 0 else host.resources(report_=host.capabilities())["batch"]
     cfg = ResearchConfig(dataset_id, args.store, args.seed, args.generations, size, args.search_mode, args.elite_size, args.elite_load, args.seen_max, evaluation=evaluation)
     manifest.write_manifest(args.run_manifest, manifest.manifest("", evaluation.eval_id, cfg, spark))
     done = search.run(spark, bars, seconds, cfg, args.minutes, lambda p: log.info("tested %d accepted %d (%.2f/s) best %.4f rejects %s", p.tested, p.accepted, p.tested_per_second, p.best_score, p.top_rejects()))
@@ -105,12 +112,19 @@ def _top(args, spark: SparkSession) -> int:
 def _audit(args, spark: SparkSession) -> int:
     kept = store.Store(spark, args.store).read("strategies")
     best = store.top(kept, args.dataset_id, max(1, args.rank), args.eval_id)
-    row = (best.where(F.col("rank") == args.rank) if not args.hash else kept.where((F.col("dataset_id") == args.dataset_id) & (F.col("strategy_hash") == args.hash))).first()
+    if args.hash:
+        evaluation = args.eval_id
+        if evaluation is None:
+            newest = store.latest_eval(kept, args.dataset_id).first()
+            evaluation = newest.eval_id if newest else None
+        row = kept.where((F.col("dataset_id") == args.dataset_id) & (F.col("eval_id") == F.lit(evaluation)) & (F.col("strategy_hash") == args.hash)).first()
+    else:
+        row = best.where(F.col("rank") == args.rank).first()
     if row is None:
         print("no such strategy", file=sys.stderr)
         return 2
     bars = spark.read.parquet(f"{args.cache}/{args.dataset_id}")
-    cfg = EvalConfig(holdout_frac=args.holdout_frac, costs=Costs(args.cost_bps, args.slippage_bps))
+    cfg = EvalConfig(costs=Costs(args.cost_bps, args.slippage_bps), **{field: getattr(args, flag.replace("-", "_")) for flag, (field, _, _) in _AUDIT.items()})
     seconds = args.bar_seconds or B.bar_seconds(bars).first().bar_seconds
     numbers = lambda text, kind: tuple(kind(x) for x in text.split(",") if x.strip())
     for name, df in audits.audit(bars, json.loads(row.genome_json), cfg, seconds, numbers(args.cost_mults, float), numbers(args.delays, int)).items():

@@ -15,12 +15,13 @@ def audit(bars: DataFrame, genome: dict, cfg: EvalConfig, bar_seconds: int, cost
     genomes = spark.createDataFrame([(0, genome)], f"genome_id long, genome {signal.GENOME}")
     pos = signal.positions(bars, genomes, signal.needed([genome])).persist()
     sizes = validate.series_sizes(bars)
-    split = validate.train_holdout(sizes, max(0.05, cfg.holdout_frac))
+    holdout = max(0.05, cfg.holdout_frac)
+    split = validate.train_holdout(sizes, holdout)
     rows = backtest.pnl(backtest.sliced(pos, split), cfg.costs)
     folds, errors = validate.cv_folds(pos, sizes, genomes, cfg, bar_seconds)
     by = regime.attribution(rows, regime.labels(bars, cfg.regime_vol_window, cfg.regime_trend_window), bar_seconds)
     return {
-        "stress": validate.stress_grid(pos, sizes, cfg.costs, bar_seconds, cfg.holdout_frac, cost_mults, delays, cfg.mdd_floor, cfg.calmar_cap),
+        "stress": validate.stress_grid(pos, sizes, cfg.costs, bar_seconds, holdout, cost_mults, delays, cfg.mdd_floor, cfg.calmar_cap),
         "base": backtest.metrics(rows, bar_seconds, backtest.KEYS, cfg.mdd_floor, cfg.calmar_cap).join(backtest.trade_meta(rows), list(backtest.KEYS)),
         "active": backtest.active_metrics(rows, bar_seconds, 30, backtest.KEYS, cfg.mdd_floor, cfg.calmar_cap),
         "walkforward": validate.walkforward(rows.where(F.col("slice_id") == "train"), bar_seconds, cfg.n_walkforward_splits),

@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from barloom.config import Costs
 from barloom.functions.scalar import annual_factor, safe_div
 
-#: Longest delay of a slice, in bars.
-MAX_DELAY = 3
 SLICE = "slice_id string, lo long, hi long, delay int, cost_mult double"
 
 
@@ -30,14 +28,20 @@ def sliced(pos: DataFrame, slices: DataFrame, on: tuple[str, ...] = ("series_id"
 KEYS = ("series_id", "genome_id", "slice_id")
 
 
-def pnl(rows: DataFrame, costs: Costs, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Sliced positions with ret, their delayed position, turnover and pnl (null on a slice's last bar)."""
+def pnl(rows: DataFrame, costs: Costs, keys: tuple[str, ...] = KEYS, delays: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """Sliced positions with ret, their delayed position, turnover and pnl (null on a slice's last bar).
+
+    ``delays`` names the delays of the slices; a slice with any other fails, as would one below 0.
+    """
     w = Window.partitionBy(*keys).orderBy("t")
     close = F.col("close").cast("double")
     # The delay is a column; each delay in use is a lag of its own over the one window.
-    later = F.col("pos")
-    for d in range(1, MAX_DELAY + 1):
-        later = F.when(F.col("delay") == d, F.lag("pos", d, 0).over(w)).otherwise(later)
+    later = F.when(F.col("delay") == 0, F.col("pos"))
+    for d in sorted({int(x) for x in delays} - {0}):
+        if d < 0:
+            raise ValueError(f"a delay can't be negative: {d}")
+        later = later.when(F.col("delay") == d, F.lag("pos", d, 0).over(w))
+    later = later.otherwise(F.raise_error(F.concat(F.lit("a slice has a delay that was not named: "), F.col("delay").cast("string"))).cast("int"))
     rows = rows.withColumns({"pos": later, "ret": safe_div(F.lead(close).over(w), close) - 1})
     rows = rows.withColumn("turnover", F.abs(F.col("pos") - F.lag("pos", 1, 0).over(w)).cast("double"))
     charge = F.lit(costs.rate) * F.col("cost_mult") * F.col("turnover")

@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def human_bytes(n: float) -> str:
-    for unit in ("B", "KiB", "MiB", "GiB", "TiB"):
-        if abs(n) < 1024 or unit == "TiB":
-            return f"{n:.2f} {unit}" if unit != "B" else f"{int(n)} B"
-        n /= 1024
+def human_bytes(n: float | None) -> str:
+    if n is None:
+        return "n/a"
+    power, units = 0, ("B", "KB", "MB", "GB", "TB", "PB")
+    while abs(n) >= 1024 ** (power + 1) and power + 1 < len(units):
+        power += 1
+    return f"{n / 1024**power:.2f} {units[power]}" if power else f"{int(n)} B"
 
 
 def clamp(x: int, lo: int, hi: int) -> int:
@@ -99,20 +101,55 @@ def memory_bytes() -> int:
         return 0
 
 
-def recommended_ram_gb(total_gb: float) -> dict:
-    """A fifth of memory, from 3 to 8 GB, stays in reserve."""
-    reserve = min(8.0, max(3.0, 0.2 * total_gb))
-    return {"reserve_gb": reserve, "budget_gb": max(0.0, total_gb - reserve)}
+def recommended_ram_gb(total_gb: float | None) -> dict:
+    """A reserve of 3 GB (4 from 16 GB on); the budget is 70 % less a quarter of it, 1 GB at least, and leaves the reserve."""
+    if not total_gb or total_gb <= 0:
+        return {"reserve_gb": None, "budget_gb": None}
+    reserve = 3.0 if total_gb < 16 else 4.0
+    share = max(1.0, 0.70 * total_gb - reserve / 4)
+    return {"reserve_gb": reserve, "budget_gb": round(max(1.0, min(share, total_gb - reserve)), 2)}
 
 
-def recommended_io_workers(read_mb_s: float) -> int:
-    return 6 if read_mb_s >= 1500 else 4 if read_mb_s >= 400 else 2
+def recommended_io_workers(read_mb_s: float | None) -> int:
+    """2, or more for disks that read 800 or 1500 MB/s; 2 where nothing was measured."""
+    return 2 if read_mb_s is None else 2 + 2 * sum(read_mb_s >= tier for tier in (800, 1500))
 
 
-def resources(workers: int = -1, batch: int = -1, inflight: int = -1) -> dict:
-    """Workers, batch of 12 and in-flight of 2 for each of them, unless given."""
-    w = workers if workers > 0 else max(1, os.cpu_count() or 1)
-    return {"workers": w, "batch": batch if batch > 0 else 12 * w, "inflight": inflight if inflight > 0 else 2 * w}
+def capabilities(path: str = "capabilities_latest.json") -> dict:
+    """A written report, or {} where there is none that can be read."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            found = json.load(f)
+    except (OSError, ValueError):
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
+def workers_of(report_: dict) -> int | None:
+    """The report's recommended number of CPU workers, if it names one of at least 1."""
+    advice = report_.get("recommendations")
+    advice = advice if isinstance(advice, dict) else {}
+    try:
+        n = int(advice.get("recommended_cpu_workers", advice.get("cpu_workers")))
+    except (TypeError, ValueError):
+        return None
+    return n if n >= 1 else None
+
+
+def resources(workers: int = -1, batch: int = -1, inflight: int = -1, report_: dict | None = None) -> dict:
+    """Workers, batch and in-flight, unless given: all cores but one from 4 on, 12 for each worker (32 to 4096),
+    and 2 for each (4 and a worker each at least)."""
+    logical, physical = os.cpu_count() or 4, 0
+    for name in ("cpu_physical_cores", "physical_cores", "cores_physical", "cpu_cores_physical"):
+        value = (report_ or {}).get(name)
+        physical = max(physical, int(value) if isinstance(value, (int, float)) else 0)
+    cores = min(logical, physical) if physical > 0 else logical
+    w = workers if workers > 0 else max(1, cores - (cores >= 4))
+    return {
+        "workers": w,
+        "batch": batch if batch > 0 else clamp(12 * w, 32, 4096),
+        "inflight": inflight if inflight > 0 else clamp(2 * w, max(4, w), max(16, 8 * w)),
+    }
 
 
 def report(spark: SparkSession | None = None, quick: bool = True) -> dict:

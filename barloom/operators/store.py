@@ -1,16 +1,17 @@
-"""The store of runs and strategies: Parquet, versions swapped whole.
+"""The store of runs and strategies: Parquet, in numbered versions.
 
-Every write makes a new version beside the old one and then moves the pointer, so readers see either.
+Every write makes the next version beside the older ones; it counts once its success mark is written,
+which is the last step, so readers see the version before or the whole new one.  One writer at a time.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RUNS = "run_id string, created_utc string, mode string, dataset_id string, eval_id string, config_json string"
+#: Versions that stay after a write, for readers that still hold an older one.
+KEPT = 3
 KEY = ["strategy_hash", "dataset_id", "eval_id"]
 ALWAYS = ["created_utc", "run_id", "genome_json", "metrics_json", "pass_flags"]
 #: Taken from the row of the better score only.
@@ -90,32 +91,29 @@ class Store:
     def _path(self, text: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(text)
 
-    def _current(self, name: str) -> str | None:
-        pointer = self._path(f"{self.root}/{name}/CURRENT")
-        fs = self.fs(pointer)
-        if not fs.exists(pointer):
-            return None
-        return self.spark.read.text(f"{self.root}/{name}/CURRENT").first().value
+    def _versions(self, name: str) -> list[int]:
+        """Numbers of the finished versions, ascending: those with a written success mark."""
+        folder = self._path(f"{self.root}/{name}")
+        fs = self.fs(folder)
+        if not fs.exists(folder):
+            return []
+        found = [s.getPath() for s in fs.listStatus(folder)]
+        return sorted(int(p.getName()[2:]) for p in found if p.getName().startswith("v-") and p.getName()[2:].isdigit() and fs.exists(self._path(f"{p.toString()}/_SUCCESS")))
 
     def read(self, name: str) -> DataFrame:
         schema = RUNS if name == "runs" else STRATEGIES
-        version = self._current(name)
-        return self.spark.createDataFrame([], schema) if version is None else self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{version}")
+        versions = self._versions(name)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/v-{versions[-1]}") if versions else self.spark.createDataFrame([], schema)
 
     def _swap(self, name: str, df: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        old = self._current(name)
-        out = df.write.mode("errorifexists")
-        (out.partitionBy("dataset_id", "eval_id") if name == "strategies" else out).parquet(f"{self.root}/{name}/{version}")
-        new, pointer = self._path(f"{self.root}/{name}/CURRENT.{version}"), self._path(f"{self.root}/{name}/CURRENT")
-        fs = self.fs(new)
-        stream = fs.create(new, True)
-        stream.write(bytearray(version.encode()))
-        stream.close()
-        fs.delete(pointer, False)
-        fs.rename(new, pointer)
-        if old:
-            fs.delete(self._path(f"{self.root}/{name}/{old}"), True)
+        """Write the next version, which counts once its success mark is there; the latest ``KEPT`` stay for readers."""
+        versions = self._versions(name)
+        out = df.write.mode("overwrite")  # a number without a mark is a write that never ended
+        number = (versions[-1] if versions else 0) + 1
+        (out.partitionBy("dataset_id", "eval_id") if name == "strategies" else out).parquet(f"{self.root}/{name}/v-{number}")
+        for old in versions[: -(KEPT - 1)]:
+            folder = self._path(f"{self.root}/{name}/v-{old}")
+            self.fs(folder).delete(folder, True)
 
     def insert_run(self, run: dict) -> None:
         new = self.spark.createDataFrame([tuple(run.get(f.split()[0]) for f in RUNS.split(", "))], RUNS)

@@ -95,7 +95,7 @@ def cv_slices(sizes: DataFrame, genomes: DataFrame, cfg: EvalConfig) -> tuple[Da
 def cv_folds(pos: DataFrame, sizes: DataFrame, genomes: DataFrame, cfg: EvalConfig, bar_seconds: int) -> tuple[DataFrame, DataFrame]:
     """Fold metrics per scenario: (series_id, genome_id, fold, scenario, sharpe, total_return, max_drawdown), and errors."""
     slices, errors = cv_slices(sizes, genomes, cfg)
-    rows = backtest.pnl(backtest.sliced(pos, slices, ("series_id", "genome_id")), cfg.costs)
+    rows = backtest.pnl(backtest.sliced(pos, slices, ("series_id", "genome_id")), cfg.costs, delays=(0, cfg.cv_delay_bars))
     per = backtest.metrics(rows, bar_seconds, backtest.KEYS, cfg.mdd_floor, cfg.calmar_cap)
     part = F.split("slice_id", ":")
     return per.where(F.col("error").isNull()).select("series_id", "genome_id", part[0].cast("int").alias("fold"), part[1].alias("scenario"), "sharpe", "total_return", "max_drawdown"), errors
@@ -118,5 +118,5 @@ def cv_summary(folds: DataFrame, errors: DataFrame) -> DataFrame:
 
 
 def stress_grid(pos: DataFrame, sizes: DataFrame, costs: Costs, bar_seconds: int, holdout_frac: float, cost_mults=(1.0, 2.0, 3.0, 5.0), delays=(0, 1), mdd_floor: float = 0.02, calmar_cap: float = 25.0) -> DataFrame:
-    rows = backtest.pnl(backtest.sliced(pos, stress_slices(sizes, holdout_frac, cost_mults, delays)), costs)
+    rows = backtest.pnl(backtest.sliced(pos, stress_slices(sizes, holdout_frac, cost_mults, delays)), costs, delays=(0, *delays))
     return backtest.metrics(rows, bar_seconds, backtest.KEYS, mdd_floor, calmar_cap)

@@ -174,14 +174,19 @@ def positions(spark, d):
     return _positions(spark, d).select("genome_id", "t", F.col("pos").cast("int").alias("pos"))
 
 
-def _backtest(spark, d, slices: Callable[[DataFrame], DataFrame], ids=None) -> DataFrame:
-    return backtest.pnl(backtest.sliced(_positions(spark, d, ids), slices(_sizes(spark, d))), X.COSTS)
+def _backtest(spark, d, slices: Callable[[DataFrame], DataFrame], ids=None, delays: tuple[int, ...] = (0, 1)) -> DataFrame:
+    return backtest.pnl(backtest.sliced(_positions(spark, d, ids), slices(_sizes(spark, d))), X.COSTS, delays=delays)
 
 
-@query(f"WITH {X.positions_sql()}, {X.slices_sql(WHOLE_SQL.replace('0 AS delay', '1 AS delay'))} SELECT CAST(gid AS BIGINT) AS genome_id, t, CAST(pos AS INTEGER) AS pos FROM q")
+_DELAYS = (1, 4, 7)
+_DELAYED = " UNION ALL ".join(f"SELECT 'd{n}' AS sid, 0 AS lo, count(*) - 1 AS hi, {n} AS delay, 1.0 AS mult, NULL AS gid FROM bars" for n in _DELAYS)
+
+
+@query(f"WITH {X.positions_sql()}, {X.slices_sql(_DELAYED)} SELECT CAST(gid AS BIGINT) AS genome_id, CAST(delay AS INTEGER) AS delay, t, CAST(pos AS INTEGER) AS pos FROM q")
 def positions_delayed(spark, d):
-    rows = _backtest(spark, d, lambda s: _whole(s).withColumn("delay", F.lit(1)))
-    return rows.select("genome_id", "t", F.col("pos").cast("int").alias("pos"))
+    each = F.explode(F.array(*[F.lit(n) for n in _DELAYS]))
+    rows = _backtest(spark, d, lambda s: _whole(s).withColumn("delay", each).withColumn("slice_id", F.concat(F.lit("d"), F.col("delay"))), delays=_DELAYS)
+    return rows.select("genome_id", "delay", "t", F.col("pos").cast("int").alias("pos"))
 
 
 @query(f"WITH {X.positions_sql()}, {X.slices_sql(WHOLE_SQL)} SELECT CAST(gid AS BIGINT) AS genome_id, t, {rs('pnl', 'pnl', 9)} FROM q")
@@ -359,6 +364,39 @@ def gate_reasons(spark, d):
     return _stage1(spark, d).select("genome_id", "reject_reason")
 
 
+# Every gate: its code, its column, a value that passes and one that fails, and the same check in SQL over x.
+_CHAIN = [
+    ("batch_train_too_short", "n_train", "5000", "4999", "x < 5000"), ("batch_holdout_too_short", "n_holdout", "1500", "1499", "x < 1500"), ("fail_type", "type", f"'{signal.TYPE}'", "'other'", f"x <> '{signal.TYPE}'"),
+    ("fail_train_metrics_error", "train_error", "CAST(NULL AS STRING)", "'too_few_bars'", "x IS NOT NULL"), ("fail_train_exposure", "train_exposure", "0.02D", "0.0199D", "x < 0.02"), ("fail_train_active_bars", "train_active_bars", "300", "299", "x < 300"),
+    ("fail_train_trades", "train_trades", "60", "59", "x < 60"), ("fail_train_turnover", "train_turnover_mean", "1.2D", "1.21D", "x > 1.2"), ("fail_train_mdd", "train_max_drawdown", "-0.75D", "-0.76D", "abs(x) > 0.75"), ("fail_train_sharpe", "train_sharpe", "0.25D", "0.24D", "x < 0.25"),
+    ("fail_train_wf_error", "wf_usable", "1", "0", "x = 0"), ("fail_train_wf_pos_segments", "wf_positive_segments", "2", "1", "x < 2"), ("fail_train_wf_dominance", "wf_dominance", "-0.85D", "-0.86D", "abs(x) > 0.85"),
+    ("fail_holdout_metrics_error", "holdout_error", "CAST(NULL AS STRING)", "'too_few_bars'", "x IS NOT NULL"), ("fail_holdout_exposure", "holdout_exposure", "0.01D", "0.0099D", "x < 0.01"), ("fail_holdout_active_bars", "holdout_active_bars", "80", "79", "x < 80"),
+    ("fail_holdout_trades", "holdout_trades", "10", "9", "x < 10"), ("fail_holdout_turnover", "holdout_turnover_mean", "1.5D", "1.51D", "x > 1.5"), ("fail_holdout_mdd", "holdout_max_drawdown", "-0.75D", "-0.76D", "abs(x) > 0.75"), ("fail_holdout_sharpe", "holdout_sharpe", "0.05D", "0.04D", "x < 0.05"),
+    ("fail_holdout_stress_metrics_error", "stress_error", "CAST(NULL AS STRING)", "'too_few_bars'", "x IS NOT NULL"), ("fail_holdout_stress_sharpe", "stress_sharpe", "0.0D", "-0.01D", "x < 0.0"),
+    ("fail_cv_pos_folds", "cv_positive_folds", "3", "2", "x < greatest(1, least(5, ceil(5 * 0.6 - 1e-12)))"), ("fail_cv_min_sharpe", "cv_min_sharpe", "-0.2D", "-0.21D", "x < -0.2"), ("fail_cv_med_sharpe", "cv_median_sharpe", "0.2D", "0.19D", "x < 0.2"),
+    ("fail_cv_med_delay1", "cv_median_sharpe_delay", "0.1D", "0.09D", "x < 0.1"), ("fail_cv_med_cost", "cv_median_sharpe_cost", "0.05D", "0.04D", "x < 0.05"), ("fail_cv_min_delay1", "cv_min_sharpe_delay", "-0.1D", "-0.11D", "x < -0.1"),
+    ("fail_cv_min_cost", "cv_min_sharpe_cost", "-0.1D", "-0.11D", "x < -0.1"), ("fail_cv_pos_cost_folds", "cv_positive_folds_cost", "3", "2", "x < greatest(1, least(5, ceil(5 * 0.6 - 1e-12)))"),
+]
+# Of order k's values the one of gate k % 31 fails, and of later gates some more.
+_CHAIN_BAD = [f"(k % 31 = {j} OR (k % 31 < {j} AND (k * 7 + {j}) % 3 = 0))" for j in range(len(_CHAIN))]
+
+
+def _chain_sql() -> str:
+    plain = lambda v: v.removesuffix("D").replace("STRING", "VARCHAR")
+    columns = ", ".join(f"CASE WHEN {bad} THEN {plain(no)} ELSE {plain(yes)} END AS {name}" for (_, name, yes, no, _), bad in zip(_CHAIN, _CHAIN_BAD, strict=True))
+    cases = " ".join(f"WHEN {check.replace('x ', name + ' ', 1) if check.startswith('x') else check.replace('(x)', f'({name})')} THEN '{code}'" for code, name, _, _, check in _CHAIN)
+    return f"WITH v AS (SELECT k, {columns} FROM (SELECT o_orderkey AS k FROM orders)) SELECT k AS genome_id, CASE {cases} END AS reject_reason FROM v"
+
+
+@query(_chain_sql())
+def gate_chain(spark, d):
+    """All gates in order over values spread by a key, each at its threshold or just beyond."""
+    rows = _table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.lit(5).alias("cv_folds"))
+    rows = rows.withColumns({name: F.expr(f"CASE WHEN {bad} THEN {no} ELSE {yes} END") for (_, name, yes, no, _), bad in zip(_CHAIN, _CHAIN_BAD, strict=True)})
+    chain = [*gates.stage1_checks(X.CONFIG), *gates.stage2_checks(X.CONFIG)]
+    return rows.select(F.col("k").alias("genome_id"), gates.first_failure(chain).alias("reject_reason"))
+
+
 @query(f"{STAGE1} SELECT reject_reason, count(*) AS n FROM g2 WHERE reject_reason IS NOT NULL GROUP BY 1")
 def reject_counts(spark, d):
     return gates.reject_counts(_stage1(spark, d))
@@ -432,12 +470,15 @@ def _condensed(spark, d) -> DataFrame:
 
 
 @query(f"""WITH {_STORE_SQL}, a AS (SELECT * FROM st WHERE seq % 3 <> 0), b AS (SELECT * FROM st WHERE seq % 3 = 0),
-ca AS (SELECT strategy_hash, dataset_id, eval_id, arg_max(run_id, seq) AS run_id, max(score) AS score FROM a GROUP BY 1, 2, 3), cb AS (SELECT strategy_hash, dataset_id, eval_id, arg_max(run_id, seq) AS run_id, max(score) AS score FROM b GROUP BY 1, 2, 3)
-SELECT strategy_hash, dataset_id, eval_id, coalesce(cb.run_id, ca.run_id) AS run_id, CASE WHEN ca.score IS NULL OR cb.score > ca.score THEN cb.score ELSE ca.score END AS score FROM ca FULL OUTER JOIN cb USING (strategy_hash, dataset_id, eval_id)""")
+ca AS (SELECT strategy_hash, dataset_id, eval_id, arg_max(run_id, seq) AS run_id, arg_max(created_utc, seq) AS created_utc, max(score) AS score, first(seq % 3 ORDER BY score DESC, seq) AS trades FROM a GROUP BY 1, 2, 3),
+cb AS (SELECT strategy_hash, dataset_id, eval_id, arg_max(run_id, seq) AS run_id, arg_max(created_utc, seq) AS created_utc, max(score) AS score, first(seq % 3 ORDER BY score DESC, seq) AS trades FROM b GROUP BY 1, 2, 3),
+j AS (SELECT strategy_hash, dataset_id, eval_id, coalesce(cb.run_id, ca.run_id) AS run_id, coalesce(cb.created_utc, ca.created_utc) AS created_utc, ca.score IS NULL OR coalesce(cb.score > ca.score, FALSE) AS b, ca.score AS sa, cb.score AS sb, ca.trades AS ta, cb.trades AS tb FROM ca FULL OUTER JOIN cb USING (strategy_hash, dataset_id, eval_id))
+SELECT strategy_hash, dataset_id, eval_id, run_id, created_utc, '{{}}' AS genome_json, 'train' AS pass_flags, CASE WHEN b THEN sb ELSE sa END AS score, CASE WHEN b THEN sb ELSE sa END AS sharpe_train, CASE WHEN b THEN sb ELSE sa END AS turnover_holdout,
+CAST(CASE WHEN b THEN tb ELSE ta END AS BIGINT) AS trades_train, CAST(CASE WHEN b THEN tb ELSE ta END AS BIGINT) AS trades_holdout FROM j""")
 def upsert_merge(spark, d):
     rows = _store_rows(spark, d)
     out = store.merged(store.condensed(rows.where(F.col("seq") % 3 != 0)), rows.where(F.col("seq") % 3 == 0))
-    return out.select(*store.KEY, "run_id", "score")
+    return out.select(*store.KEY, "run_id", "created_utc", "genome_json", "pass_flags", "score", "sharpe_train", "turnover_holdout", "trades_train", "trades_holdout")
 
 
 @query(f"WITH {_STORE_SQL} SELECT eval_id, max(created_utc) AS latest FROM st WHERE dataset_id = 'd1' GROUP BY 1 ORDER BY latest DESC, eval_id LIMIT 1")
@@ -467,10 +508,18 @@ def migrate_legacy(spark, d):
 # ---------------------------------------------------------------- search
 
 
-@query("SELECT DISTINCT o_custkey AS fp FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+@query("""SELECT min(o_orderkey) AS genome_id, CAST(o_custkey AS BIGINT) AS customer FROM orders
+WHERE o_custkey % 97 NOT IN (SELECT c_custkey % 97 FROM customer WHERE c_custkey % 97 < 40) GROUP BY o_custkey""")
 def seen_dedupe(spark, d):
-    seen = _table(spark, d, "customer").where(F.col("c_custkey") % 2 == 0).select(F.col("c_custkey").alias("fp"))
-    return _table(spark, d, "orders").select(F.col("o_custkey").alias("fp")).distinct().join(seen, "fp", "left_anti")
+    """Genomes that differ by customer only, less those seen: of customers whose key modulo 97 is below 40."""
+
+    def genome(key):
+        part = F.struct(F.lit("mr_z").alias("name"), key.cast("int").alias("window"), F.lit(1.0).alias("weight"))
+        return F.struct(F.lit(signal.TYPE).alias("type"), F.array(part).alias("features"), F.lit(0.5).alias("threshold"), F.struct(F.lit("any").alias("mode"), F.lit(80).alias("window")).alias("vol_gate")).alias("genome")
+
+    rows = _table(spark, d, "orders").select(F.col("o_orderkey").alias("genome_id"), genome(F.col("o_custkey")))
+    known = rows.where(F.col("genome.features")[0]["window"] % 97 < 40).select(G.fingerprint(F.col("genome")).alias("fp"))
+    return G.unseen(rows, known.distinct()).select("genome_id", F.col("genome.features")[0]["window"].cast("bigint").alias("customer"))
 
 
 @query("WITH m(workers, rate) AS (SELECT l_linenumber, sum(l_quantity) FROM lineitem GROUP BY 1) SELECT CAST(min(workers) AS INTEGER) AS workers FROM m WHERE rate >= 0.97 * (SELECT max(rate) FROM m)")

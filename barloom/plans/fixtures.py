@@ -102,7 +102,7 @@ def slices_sql(rows: str) -> str:
     rate = COSTS.rate
     return f"""s AS ({rows}),
 q0 AS (SELECT p.gid, s.sid, p.t, p.c, s.lo, s.hi, s.delay, s.mult, p.pos AS pos0 FROM p JOIN s ON p.t BETWEEN s.lo AND s.hi AND (s.gid IS NULL OR s.gid = p.gid)),
-q1 AS (SELECT *, CASE WHEN delay = 0 THEN pos0 ELSE coalesce(lag(pos0, 1) OVER (PARTITION BY gid, sid ORDER BY t), 0) END AS pos, lead(c) OVER (PARTITION BY gid, sid ORDER BY t) / c - 1 AS ret FROM q0),
+q1 AS (SELECT *, CASE WHEN delay = 0 THEN pos0 ELSE coalesce(lag(pos0, delay) OVER (PARTITION BY gid, sid ORDER BY t), 0) END AS pos, lead(c) OVER (PARTITION BY gid, sid ORDER BY t) / c - 1 AS ret FROM q0),
 q2 AS (SELECT *, CAST(abs(pos - coalesce(lag(pos) OVER (PARTITION BY gid, sid ORDER BY t), 0)) AS DOUBLE) AS turnover FROM q1),
 q AS (SELECT *, CASE WHEN t < hi THEN pos * ret - {rate} * mult * turnover END AS pnl FROM q2)"""
 

@@ -228,3 +228,45 @@ def test_bar_seconds(spark):
         return B.bar_seconds(spark.createDataFrame([("s", i, t) for i, t in enumerate(ts)], "series_id string, t long, ts long")).first().bar_seconds
 
     assert of(0, 900, 1800) == 900 and of(0, 900) == 86400 and of(5, 5, 5) == 86400 and of(0, 10**7, 2 * 10**7) == 604800
+
+
+def test_store_keeps_the_old_version_until_the_new_one_is_whole(spark, tmp_path):
+    kept = store.Store(spark, str(tmp_path / "store"))
+    kept.insert_run({"run_id": "a", "dataset_id": "d"})
+    reader = kept.read("runs")
+    (tmp_path / "store/runs/v-2").mkdir()  # a write that ended halfway
+    (tmp_path / "store/runs/v-2/part-0.parquet").write_bytes(b"half")
+    assert [r.run_id for r in kept.read("runs").collect()] == ["a"]
+    kept.insert_run({"run_id": "b", "dataset_id": "d"})
+    kept.insert_run({"run_id": "c", "dataset_id": "d"})
+    assert sorted(r.run_id for r in kept.read("runs").collect()) == ["a", "b", "c"]
+    assert [r.run_id for r in reader.collect()] == ["a"]  # an older reader's files are still there
+    kept.insert_run({"run_id": "e", "dataset_id": "d"})
+    assert sorted(p.name for p in (tmp_path / "store/runs").iterdir()) == ["v-2", "v-3", "v-4"]
+
+
+def test_delays_of_any_length_and_unnamed_ones(spark):
+    rows = spark.createDataFrame([("s", 0, "x", t, 100.0 + t, t % 3 - 1, 0, 9, d, 1.0) for d in (5,) for t in range(10)], "series_id string, genome_id long, slice_id string, t long, close double, pos int, lo long, hi long, delay int, cost_mult double")
+    got = [r.pos for r in backtest.pnl(rows, Costs(), delays=(5,)).orderBy("t").collect()]
+    assert got == [0] * 5 + [t % 3 - 1 for t in range(5)]
+    with pytest.raises(Exception, match="not named"):
+        backtest.pnl(rows, Costs()).collect()
+
+
+def test_host_advice():
+    from barloom.operators import host
+
+    assert host.recommended_ram_gb(15.86)["budget_gb"] == 10.35 and host.recommended_ram_gb(15.86)["reserve_gb"] == 3.0
+    assert host.recommended_ram_gb(64)["budget_gb"] == 43.8 and host.recommended_ram_gb(2)["budget_gb"] == 1.0 and host.recommended_ram_gb(None)["budget_gb"] is None
+    assert [host.recommended_io_workers(x) for x in (None, 799, 800, 1499, 1500)] == [2, 2, 4, 4, 6]
+    assert host.resources(4) == {"workers": 4, "batch": 48, "inflight": 8} and host.resources(1) == {"workers": 1, "batch": 32, "inflight": 4} and host.resources(500)["batch"] == 4096
+    assert host.human_bytes(None) == "n/a" and host.human_bytes(1023) == "1023 B" and host.human_bytes(1536) == "1.50 KB" and host.human_bytes(5 * 1024**3) == "5.00 GB"
+    assert host.workers_of({"recommendations": {"recommended_cpu_workers": "8"}}) == 8 and host.workers_of({}) is None
+    assert host.capabilities("/no/such/file.json") == {}
+
+
+def test_every_gate_fires(spark):
+    from barloom.plans import catalog
+
+    codes = {r.reject_reason for r in catalog.gate_chain(spark, "/root/testdata/sf0.001").collect()}
+    assert codes == {None, *(x[0] for x in catalog._CHAIN)} and len(catalog._CHAIN) == 30
