@@ -1,147 +1,32 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
 A text becomes its words: A-Z lower-cased, words of letters, digits and all characters past ASCII.
-Three base phrases are always found.  Hundreds of regex signatures run only on the texts whose words
-hold their rule's keyword; of overlapping detections the one of smaller priority number stays, and of
-equal priorities one contained in another goes.  Base detections always stay.
-
-Null and empty texts have no words: counts 0, labels empty, first and last null, score 0.  Rows are
-independent: repeated rows, ties, null ids and further columns change nothing; an empty table gives
-an empty result.
+Three base phrases are always found.  Some three hundred hand-written signatures (``license_rules``) run
+only on the texts that hold their keywords.  Detections are settled in order, by priority, the longer
+and then the earlier first: one goes if it overlaps one of smaller priority number that stays, or lies
+within one of equal priority that stays.  Base detections always stay.
+
+Null and empty texts have no words: counts 0, labels empty, first and last null, score 0.  Texts may
+have any length; the settling takes time with the square of a text's detections.  Rows are independent:
+repeated rows, ties, null ids and further columns change nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
-import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.license_rules import gates, signatures
+
 #: Base phrases and labels (fixed values).
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
 # Everything that is not a word character, of text in either case.
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-# Families: label, keyword, names under which it is cited, and its versions (fixed values).  A name
-# and the forms below give one signature each; a versioned name gives one for every version as well.
-_FAMILIES = [
-    ("mit", "mit", ["mit", "mit x11", "expat"], []),
-    ("apache", "apache", ["apache", "apache software", "asl"], ["1 0", "1 1", "2 0", "2"]),
-    ("gpl", "gpl", ["gpl", "gnu gpl"], ["1", "1 0", "2", "2 0", "3", "3 0"]),
-    ("gpl", "general", ["general public", "gnu general public"], ["1", "1 0", "2", "2 0", "3", "3 0"]),
-    ("lgpl", "lgpl", ["lgpl", "gnu lgpl"], ["2", "2 0", "2 1", "3", "3 0"]),
-    ("lgpl", "lesser", ["lesser general public", "gnu lesser general public"], ["2 1", "3", "3 0"]),
-    ("agpl", "agpl", ["agpl", "gnu agpl"], ["1", "3", "3 0"]),
-    ("agpl", "affero", ["affero general public", "gnu affero general public"], ["1", "3", "3 0"]),
-    ("bsd", "bsd", ["bsd", "simplified bsd", "modified bsd", "new bsd", "original bsd", "freebsd", "bsd 2 clause", "bsd 3 clause", "bsd 4 clause", "0bsd"], []),
-    ("mpl", "mozilla", ["mozilla public"], ["1 0", "1 1", "2 0"]),
-    ("mpl", "mpl", ["mpl"], ["1 0", "1 1", "2 0"]),
-    ("epl", "eclipse", ["eclipse public"], ["1 0", "2 0"]),
-    ("epl", "epl", ["epl"], ["1 0", "2 0"]),
-    ("cddl", "cddl", ["cddl"], ["1 0", "1 1"]),
-    ("cddl", "distribution", ["common development and distribution"], ["1 0", "1 1"]),
-    ("eupl", "eupl", ["eupl", "european union public"], ["1 0", "1 1", "1 2"]),
-    ("isc", "isc", ["isc"], []),
-    ("zlib", "zlib", ["zlib", "zlib libpng"], []),
-    ("artistic", "artistic", ["artistic", "perl artistic"], ["1 0", "2 0"]),
-    ("boost", "boost", ["boost software", "boost"], ["1 0"]),
-    ("unlicense", "unlicense", ["unlicense", "the unlicense"], []),
-    ("wtfpl", "wtfpl", ["wtfpl"], ["2"]),
-    ("ofl", "ofl", ["ofl", "sil ofl"], ["1 0", "1 1"]),
-    ("ofl", "open", ["sil open font", "open font"], ["1 0", "1 1"]),
-    ("osl", "osl", ["osl"], ["1 0", "2 0", "2 1", "3 0"]),
-    ("osl", "open", ["open software"], ["1 0", "2 0", "2 1", "3 0"]),
-    ("afl", "academic", ["academic free"], ["1 1", "1 2", "2 0", "2 1", "3 0"]),
-    ("psf", "python", ["python software foundation", "python"], ["2", "2 0"]),
-    ("php", "php", ["php"], ["3 0", "3 01"]),
-    ("ruby", "ruby", ["ruby"], []),
-    ("odbl", "odbl", ["odbl"], ["1 0"]),
-    ("odbl", "database", ["open database"], ["1 0"]),
-    ("ms-pl", "microsoft", ["microsoft public"], []),
-    ("ms-rl", "microsoft", ["microsoft reciprocal"], []),
-    ("ecl", "educational", ["educational community"], ["1 0", "2 0"]),
-    ("lppl", "lppl", ["lppl", "latex project public"], ["1 0", "1 2", "1 3", "1 3c"]),
-    ("postgresql", "postgresql", ["postgresql"], []),
-    ("openssl", "openssl", ["openssl"], []),
-    ("fdl", "documentation", ["free documentation", "gnu free documentation"], ["1 1", "1 2", "1 3"]),
-    ("fdl", "gfdl", ["gfdl", "gnu fdl"], ["1 1", "1 2", "1 3"]),
-    ("bsl", "business", ["business source"], ["1 0", "1 1"]),
-    ("sspl", "sspl", ["sspl", "server side public"], ["1", "1 0"]),
-    ("elastic", "elastic", ["elastic"], ["2", "2 0"]),
-    ("upl", "universal", ["universal permissive"], ["1 0"]),
-    ("cc0", "cc0", ["cc0"], ["1 0"]),
-]
-# Creative Commons: the terms, each alone and with the versions.
-_CC_TERMS = ["by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"]
-_CC_VERSIONS = ["1 0", "2 0", "2 5", "3 0", "4 0"]
-_CC_NAMES = {
-    "by": "attribution",
-    "by sa": "attribution share ?alike",
-    "by nc": "attribution non ?commercial",
-    "by nd": "attribution no ?deriv(?:ative)?s",
-    "by nc sa": "attribution non ?commercial share ?alike",
-    "by nc nd": "attribution non ?commercial no ?deriv(?:ative)?s",
-}
-# Sentences of license texts: label, keyword, signature (fixed values).
-_SENTENCES = [
-    ("mit", "granted", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("mit", "noninfringement", "fitness for a particular purpose and noninfringement"),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd", "redistributions", "redistributions (?:of source code|in binary form) must (?:retain|reproduce) the above copyright notice"),
-    ("bsd", "endorse", "may (?:not )?be used to endorse or promote products derived from this software"),
-    ("apache", "compliance", "you may not use this file except in compliance with the license"),
-    ("apache", "apache", "www apache org licenses license 2 0"),
-    ("gpl", "redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("gpl", "gnu", "you should have received a copy of the gnu general public license"),
-    ("lgpl", "gnu", "you should have received a copy of the gnu lesser general public license"),
-    ("agpl", "gnu", "you should have received a copy of the gnu affero general public license"),
-    ("mpl", "mozilla", "subject to the terms of the mozilla public license"),
-    ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("zlib", "warranty", "this software is provided as is without any express or implied warranty"),
-    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
-    ("wtfpl", "what", "do what the fuck you want to"),
-    ("public-domain", "domain", "(?:released|placed|dedicated|is) (?:into|in|to) the public domain"),
-    ("public-domain", "domain", "public domain dedication"),
-    ("proprietary", "reserved", "all rights reserved"),
-    ("proprietary", "confidential", "proprietary and confidential"),
-    ("proprietary", "prohibited", "(?:copying|reproduction|redistribution) (?:of this file )?is strictly prohibited"),
-    ("boost", "boost", "distributed under the boost software license"),
-    ("ofl", "font", "this font software is licensed under the sil open font license"),
-    ("gpl", "copyleft", "copyleft license"),
-]
-
-_LICENSE = "licen[cs]e"
-_GRANTS = ["licensed", "released", "distributed", "available", "published", "covered"]
-
-
-def rules() -> list[tuple[int, str, list[str], str]]:
-    """Signatures as (priority, label, keywords, regex over words), most specific first.
-
-    A signature is tried on texts that hold all its keywords, which every match holds.  Priorities: 0 sentences, 1 a name
-    with its version, 2 a name with a word of licensing.
-    """
-    always = lambda rx: re.sub(r"\(\?:[^)]*\)\??", "|", rx).split(" ")
-    out = [(0, label, [key, *(w for w in always(rx) if w.isalnum() and len(w) > 5)][:3], rx) for label, key, rx in _SENTENCES]
-    for label, _, names, versions in _FAMILIES:
-        for name in names:
-            own = name.split()
-            for v in versions:
-                out.append((1, label, own, f"{name}(?: {_LICENSE})?(?: version| ver)?(?: v)? {v}"))
-                out.append((1, label, own, f"{name}(?: {_LICENSE})?(?: version)? v{v}"))
-            out += [(2, label, [*own, spelled], f"{name} {spelled}") for spelled in ("license", "licence")]
-            out += [(2, label, [*own, grant, "under"], f"{grant} under (?:the )?(?:terms of )?(?:the )?{name}") for grant in _GRANTS]
-            out.append((2, label, [*own, "spdx"], f"spdx {_LICENSE} identifier {name}"))
-    for term in _CC_TERMS:
-        label = "cc-" + term.replace(" ", "-")
-        out += [(1, label, ["cc", *term.split()], f"cc {term} {v}") for v in _CC_VERSIONS]
-        out.append((1, label, ["creative", "commons", "attribution"], f"creative commons {_CC_NAMES[term]} (?:\\d \\d )?(?:international |generic |unported )?{_LICENSE}"))
-        out += [(2, label, ["cc", grant, "under", *term.split()], f"{grant} under (?:the )?(?:terms of )?(?:the )?cc {term}") for grant in _GRANTS]
-    return out
-
-
-_RULES = rules()
+_RULES = [(priority, label, *gates(rx), rx) for priority, label, rx in signatures()]
 
 
 def normal_words(text: Column) -> Column:
@@ -173,17 +58,17 @@ def _places(words: Column, pattern: Column) -> Column:
     return F.aggregate(F.arrays_zip(pieces.alias("piece"), hits.alias("hit")), zero, step, lambda acc: acc["out"])
 
 
-def _literal(rows: list[tuple[int, str, list[str], str]]) -> Column:
+def _literal(rows: list[tuple[int, str, list[str], list[str], str]]) -> Column:
     """The rows as one literal array of structs; the optimizer folds the parsing."""
-    text = json.dumps([dict(zip(("priority", "label", "keys", "rx"), r, strict=True)) for r in rows])
-    return F.from_json(F.lit(text), "array<struct<priority:int,label:string,keys:array<string>,rx:string>>")
+    text = json.dumps([dict(zip(("priority", "label", "keys", "either", "rx"), r, strict=True)) for r in rows])
+    return F.from_json(F.lit(text), "array<struct<priority:int,label:string,keys:array<string>,either:array<string>,rx:string>>")
 
 
 def _overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
-def _contained(a: Column, b: Column) -> Column:
+def _within(a: Column, b: Column) -> Column:
     return (b["start"] <= a["start"]) & (a["end"] <= b["end"]) & (b["end"] - b["start"] > a["end"] - a["start"])
 
 
@@ -193,7 +78,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     ``base``: structs (label, priority, start, end) of all places of the base phrases; ``found``:
     those and the detections that suppression leaves.  Starts and ends count words, ends exclusive.
     """
-    keys = sorted({k for _, _, own, _ in _RULES for k in own} | {k for phrase in BASE for k in phrase.split()})
+    keys = sorted({k for _, _, own, either, _ in _RULES for k in own + either} | {k for phrase in BASE for k in phrase.split()})
     k, present = F.col("_k"), F.col("_present")
     rows = docs.select("doc_id", normal_words(F.col("text")).alias("_w"))
     rows = rows.select("doc_id", "_w", F.split("_w", " ").alias("_a"))
@@ -203,8 +88,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
     n_words = F.when(F.col("_w") == " ", F.lit(0)).otherwise(F.col("_n")).cast("bigint")
     rows = rows.select("doc_id", n_words.alias("n_words"), "_present", F.when(F.size("_present") > 0, F.col("_w")).alias("_k"))
 
-    rule = _literal([(p, label, own, rx) for p, label, own, rx in _RULES])
-    first = _literal([(0, label, phrase.split(), phrase) for phrase, label in BASE.items()])
+    rule = _literal(_RULES)
+    first = _literal([(0, label, phrase.split(), [], phrase) for phrase, label in BASE.items()])
     none = F.array().cast("array<struct<label:string,priority:int,start:bigint,end:bigint>>")
 
     def detections(chosen: Column) -> Column:
@@ -212,11 +97,12 @@ def license_scan(docs: DataFrame) -> DataFrame:
         return F.flatten(F.transform(chosen, own))
 
     def matching(among: Column) -> Column:
-        gate = lambda r: F.forall(r["keys"], lambda x: F.array_contains(present, x))
+        gate = lambda r: F.forall(r["keys"], lambda x: F.array_contains(present, x)) & ((F.size(r["either"]) == 0) | F.arrays_overlap(r["either"], present))
         return F.filter(among, lambda r: gate(r) & F.rlike(k, F.concat(F.lit("(?<= )(?:"), r["rx"], F.lit(")(?= )"))))
 
     rows = rows.withColumn("base", F.when(k.isNotNull(), F.sort_array(detections(matching(first)))).otherwise(none))
     rows = rows.withColumn("_all", F.when(k.isNotNull(), detections(matching(rule))).otherwise(none))
-    beats = lambda a, b: (_overlaps(a, b) & (b["priority"] < a["priority"])) | (_contained(a, b) & (b["priority"] == a["priority"]))
-    kept = F.filter(F.col("_all"), lambda a: ~F.exists(F.col("_all"), lambda b: beats(a, b)))
+    beats = lambda a, b: (_overlaps(a, b) & (b["priority"] < a["priority"])) | (_within(a, b) & (b["priority"] == a["priority"]))
+    turn = F.array_sort(F.transform(F.col("_all"), lambda x: F.struct(x["priority"].alias("priority"), (x["start"] - x["end"]).alias("size"), x["start"].alias("start"), x["end"].alias("end"), x["label"].alias("label"))))
+    kept = F.aggregate(turn, none, lambda stay, x: F.when(F.exists(stay, lambda b: beats(x, b)), stay).otherwise(F.concat(stay, F.array(F.struct(x["label"].alias("label"), x["priority"].alias("priority"), x["start"].alias("start"), x["end"].alias("end"))))))
     return rows.select("doc_id", "n_words", "base", F.sort_array(F.array_distinct(F.concat(F.col("base"), kept))).alias("found"))

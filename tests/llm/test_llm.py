@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import catalog, decontaminate, license_scan, line_dedup, lm_score, mixing, secret_scan, simhash_dedup, token_counts, topk_search, toxicity
+from barloom.llm import catalog, decontaminate, license_rules, license_scan, line_dedup, lm_score, mixing, secret_scan, simhash_dedup, token_counts, topk_search, toxicity
 from barloom.llm.common import Scratch, connected_components
 
 DATA = "/root/testdata/sf0.001"
@@ -72,7 +72,7 @@ def test_short_encoded_secrets(secret):
 
 
 def test_license_scan(spark):
-    assert len(license_scan.rules()) >= 200
+    assert len(license_rules.signatures()) >= 300
     texts = [*TRICKY, "Released under the MIT License. MIT license mit LICENSE", "GNU General Public License version 3, general public license", "mit der license", "Apache License, Version 2.0 CC BY-NC 4.0", "smit license permit license", "all rights reserved"]
     got = {r.doc_id: r for r in license_scan.license_scan(documents(spark, texts)).collect()}
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -88,18 +88,36 @@ def test_license_scan(spark):
     assert [(x.label, x.start, x.end) for x in got[len(TRICKY) + 5].found] == [("proprietary", 0, 3)]
 
 
-def test_every_license_rule_fires_on_its_own_match(spark):
-    def matches(rx):
-        """Matches without the optional parts, one for each alternative."""
-        rx = re.sub(r"\(\?:[^)]*\)\?", "", rx).replace("licen[cs]e", "license").replace(" ?", " ")
-        m = re.search(r"\(\?:([^)]*)\)", rx)
-        return [x for a in m[1].split("|") for x in matches(rx[: m.start()] + a + rx[m.end() :])] if m else [rx]
+def _license_match(rx: str) -> str:
+    """A text that holds nothing but one match of the signature, with the first choice of every group."""
+    rx = rx.replace(".{1,80}", "some owner").replace("licen[cs]e", "license").replace("\\d", "3")
+    while "(?:" in rx:
+        rx = re.sub(r"\(\?:([^()]*)\)(\??)", lambda m: "" if m[2] else m[1].split("|")[0], rx)
+    rx = re.sub(r"\[(.)[^\]]*\]", r"\1", rx)
+    return re.sub(r"\w\?", "", rx.replace(" ?", " "))
 
-    rows = [(label, rx, t) for _, label, _, rx in license_scan.rules() for t in matches(rx)]
-    assert all(re.fullmatch(rx, t) for _, rx, t in rows)
-    docs = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(rows)], "doc_id long, text string").repartition(4)
-    found = {r.doc_id: {x.label for x in r.found} for r in license_scan.license_scan(docs).collect()}
-    assert [rows[i] for i in found if rows[i][0] not in found[i]] == []
+
+def test_licenses_equal_a_plain_scan(spark):
+    """Every signature on its own match alone, and texts with several, against regexes over all rules."""
+    rules = license_rules.signatures()
+    texts = [_license_match(rx) for _, _, rx in rules]
+    texts += [" and ".join(texts[i::37]) for i in range(37)] + ["gpl version 2 license gpl", "licensed under the apache license version 2 0 or the mit license", "bsd license " * 50]
+    got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        words = " " + re.sub(r"[^a-z0-9]+", " ", t.lower()).strip() + " "
+        found = []
+        for priority, label, rx in rules:
+            for m in re.finditer(f"(?<= )(?:{rx})(?= )", words):
+                start = words[: m.start()].count(" ") - 1
+                found.append((priority, start - (end := start + m[0].count(" ") + 1), start, end, label))
+        stay = []
+        for x in sorted(found):
+            if not any((x[2] < y[3] and y[2] < x[3] and y[0] < x[0]) or (y[0] == x[0] and y[2] <= x[2] and x[3] <= y[3] and y[1] < x[1]) for y in stay):
+                stay.append(x)
+        want = {(label, priority, a, b) for priority, _, a, b, label in stay} | {(x.label, x.priority, x.start, x.end) for x in got[i].base}
+        assert {(x.label, x.priority, x.start, x.end) for x in got[i].found} == want, t
+        if i < len(rules):
+            assert any(x[4] == rules[i][1] for x in found), (rules[i], t)
 
 
 def test_toxicity_learns_pairs_and_words(spark):
