@@ -5,8 +5,10 @@ reported only if their structure holds: DER private keys by nested lengths, Open
 magic and length-prefixed fields, signed tokens by a JSON header that names an algorithm, PEM
 private-key blocks by the decoded body, and encoded text by base secrets found in it.
 
-Null and empty texts have no spans.  Offsets are code points, ends exclusive.  Rows are independent:
-repeated rows, null ids and further columns change nothing, and an empty table gives an empty result.
+Null and empty texts have no spans.  Offsets are code points, ends exclusive; bytes that are no UTF-8
+count as replacement characters.  Texts may have any length; one is held at a time with its spans.  Of
+spans that begin together the kind first in ``KINDS`` comes first.  Rows are independent: repeated rows,
+null ids and further columns change nothing, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from barloom.llm.common import binary_text
+
 BASE_KINDS = ("assign", "access", "hex")
 #: All kinds, in the order that breaks ties of a start.
 KINDS = (*BASE_KINDS, "pem", "der", "openssh", "token", "encoded")
@@ -86,43 +90,98 @@ def children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | Non
     return out
 
 
+def _is_rsa_key(parts: list[tuple[int, int, int]]) -> bool:
+    """PKCS#1: a version and the eight numbers of the key, then at most further primes."""
+    return len(parts) >= 9 and all(tag == 0x02 and stop > start for tag, start, stop in parts[:9]) and all(tag == 0x30 for tag, _, _ in parts[9:])
+
+
+def _is_ec_key(data: bytes, parts: list[tuple[int, int, int]]) -> bool:
+    """SEC1: version 1, the private octets, then at most curve and public key."""
+    if len(parts) < 2 or data[parts[0][1] : parts[0][2]] != b"\x01" or parts[1][0] != 0x04 or parts[1][2] - parts[1][1] < 16:
+        return False
+    return all(tag in (0xA0, 0xA1) and children(data, start, stop) is not None for tag, start, stop in parts[2:])
+
+
+def _names_algorithm(data: bytes, part: tuple[int, int, int]) -> bool:
+    inner = children(data, part[1], part[2]) if part[0] == 0x30 else None
+    return bool(inner) and inner[0][0] == 0x06 and inner[0][2] > inner[0][1]
+
+
 def is_der_private_key(data: bytes) -> bool:
-    """PKCS#1, PKCS#8 or SEC1 private key whose nested lengths all fit."""
+    """PKCS#1, SEC1 or PKCS#8 private key, plain or encrypted, whose nested lengths all fit; of PKCS#8 the key inside too."""
     top = tlv(data, 0, len(data))
     if top is None or top[0] != 0x30 or top[2] != len(data):
         return False
     parts = children(data, top[1], top[2])
-    if not parts or parts[0][0] != 0x02 or parts[0][2] - parts[0][1] != 1:
+    if not parts:
+        return False
+    if len(parts) == 2 and parts[1][0] == 0x04 and _names_algorithm(data, parts[0]):  # encrypted in blocks of 8 or 16
+        size = parts[1][2] - parts[1][1]
+        return size >= 16 and size % 8 == 0
+    if parts[0][0] != 0x02 or parts[0][2] - parts[0][1] != 1:
         return False
-    tags = [t for t, _, _ in parts]
-    if len(parts) >= 9 and tags[:9] == [0x02] * 9:
+    if _is_rsa_key(parts) or _is_ec_key(data, parts):
         return True
-    if len(parts) >= 3 and tags[1] == 0x30 and tags[2] == 0x04:
-        inner = children(data, parts[1][1], parts[1][2])
-        return bool(inner) and inner[0][0] == 0x06
-    return len(parts) >= 2 and tags[1] == 0x04 and parts[1][2] - parts[1][1] >= 16 and all(t in (0xA0, 0xA1) for t in tags[2:])
+    if len(parts) < 3 or parts[2][0] != 0x04 or not _names_algorithm(data, parts[1]) or any(tag not in (0xA0, 0xA1, 0x81) for tag, _, _ in parts[3:]):
+        return False
+    key = data[parts[2][1] : parts[2][2]]
+    whole = tlv(key, 0, len(key))
+    if whole is None or whole[2] != len(key):
+        return False
+    if whole[0] == 0x30:
+        inner = children(key, whole[1], whole[2])
+        return bool(inner) and inner[0][0] == 0x02 and (_is_rsa_key(inner) or _is_ec_key(key, inner))
+    return whole[0] in (0x02, 0x04) and whole[2] - whole[1] >= 16
+
+
+def _field(data: bytes, at: int) -> tuple[bytes, int] | None:
+    """The length-prefixed field at ``at`` and where it ends, or None if it doesn't fit."""
+    if at + 4 > len(data):
+        return None
+    end = at + 4 + int.from_bytes(data[at : at + 4], "big")
+    return (data[at + 4 : end], end) if end <= len(data) else None
 
 
 def is_openssh_key(data: bytes) -> bool:
+    """Magic, three fields, the number of keys, as many public keys that name their type, and the private block, nothing after."""
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
         return False
-    at = len(magic)
+    at, head = len(magic), []
     for _ in range(3):  # cipher, key derivation, its options
-        n = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 > len(data) or at + 4 + n > len(data):
+        got = _field(data, at)
+        if got is None:
             return False
-        at += 4 + n
-    return at + 4 <= len(data)
+        head.append(got[0])
+        at = got[1]
+    n = int.from_bytes(data[at : at + 4], "big")
+    if at + 4 > len(data) or not 1 <= n <= 64 or not head[0].isascii() or not head[0]:
+        return False
+    at += 4
+    for _ in range(n):
+        public = _field(data, at)
+        kind = _field(public[0], 0) if public else None
+        if kind is None or not kind[0] or not kind[0].isascii():
+            return False
+        at = public[1]
+    private = _field(data, at)
+    if private is None or private[1] != len(data) or len(private[0]) < 16 or len(private[0]) % 8:
+        return False
+    # Two equal check numbers begin an unencrypted block.
+    return head[0] != b"none" or private[0][:4] == private[0][4:8]
 
 
 def is_signed_token(run: str) -> bool:
-    head, body, _ = run.split(".")
+    """A JSON header that names an algorithm, a payload that decodes, and a signature of 16 bytes or more (none for "none")."""
+    head, body, tail = run.split(".")
     try:
         header = json.loads(decode_base64(head) or b"")
-        return isinstance(header, dict) and isinstance(header.get("alg"), str) and decode_base64(body) is not None
     except ValueError:
         return False
+    if not isinstance(header, dict) or not isinstance(header.get("alg"), str) or decode_base64(body) is None:
+        return False
+    signature = decode_base64(tail)
+    return not tail if header["alg"].lower() == "none" else signature is not None and len(signature) >= 16
 
 
 def structure(data: bytes | None) -> str | None:
@@ -175,8 +234,8 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base, spans = [], []
-            for t in batch.column(batch.schema.get_field_index("text")).to_pylist():
-                a, b = scan(t)
+            for t in binary_text(batch):
+                a, b = scan(t.decode("utf-8", "replace"))
                 base.append([dict(zip(("kind", "start", "end"), x, strict=True)) for x in a])
                 spans.append([dict(zip(("kind", "start", "end"), x, strict=True)) for x in b])
             ids = batch.column(batch.schema.get_field_index("doc_id"))
