@@ -93,14 +93,18 @@ def binary_text(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 
 def slices(texts: list, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Runs [a, b) of texts of about ``most`` bytes, so that working lists stay bounded."""
+    return size_slices([len(t) for t in texts], most)
+
+
+def size_slices(sizes, most: int) -> Iterator[tuple[int, int]]:
     a, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
+    for i, n in enumerate(sizes):
+        if size and size + n > most:
             yield a, i
             a, size = i, 0
-        size += len(t)
-    if a < len(texts):
-        yield a, len(texts)
+        size += n
+    if a < len(sizes):
+        yield a, len(sizes)
 
 
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:

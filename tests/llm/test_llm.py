@@ -475,19 +475,19 @@ def test_attention_learns(spark):
     """Held-out pieces are likelier than by their counts alone."""
     P = pytest.importorskip("public_tokenizers")
     path = P.path("word_bpe_49k.json")
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    docs = spark.read.parquet(f"{DATA}/../sf0.01/documents.parquet")
     counts = lm_score.word_counts(docs.where("doc_id % 5 > 0"))
     by_piece = lm_score.piece_counts(counts, path)
     by_piece[lm_score.END] = docs.count()
     windows = lm_score.training_windows(docs.where("doc_id % 5 > 0"), path)
     m = lm_score.train(spark, windows, by_piece, 400)
     tok = lm_score.tokenizer(path)
-    words = [w for r in docs.where("doc_id % 5 = 0").select("text").collect() for w in lm_score.split_words((r.text or "").encode())]
+    words = [w for r in docs.where("doc_id % 50 = 0").select("text").collect() for w in lm_score.split_words((r.text or "").encode())]
     seq = np.array([i for p in lm_score.pieces(tok, words) for i in p] + [lm_score.END])
     own = lm_score.piece_scores(m.tables(), m, seq, np.array([len(seq)])).mean()
     alone = np.log((by_piece[seq] + 0.1) / (by_piece + 0.1).sum()).mean()
     print("attention", own, "counts", alone)
-    assert own > alone + 0.15
+    assert own > alone + 0.5
 
 
 def test_lm_score_of_no_rows(spark):
