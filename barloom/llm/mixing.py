@@ -25,8 +25,8 @@ from barloom.llm.common import Scratch
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
-#: Newton iterations; each at least halves the bracket, so this many reach double precision.
-ITERATIONS = 60
+#: Iterations at most.  Every third halves the bracket, so this many reach double precision from any start.
+ITERATIONS = 240
 #: Hash buckets that the documents of one source and size are dealt into before they are ranked.
 SALTS = 64
 
@@ -68,7 +68,8 @@ def balance(counts: DataFrame, goal: DataFrame, scratch: Scratch, most: float =
     """(s_null, s, scale, m): each source's multiplier; counts: (s_null, s, size, docs), sizes above 0.
 
     The dual's gradient in m is the sum of docs * size * rate less the target: increasing, so a
-    bracket always holds the root.  A Newton step that leaves the bracket becomes a bisection.
+    bracket always holds the root.  A Newton step that leaves the bracket becomes a bisection, and every
+    third step is one.
     """
     per = counts.groupBy("s_null", "s").agg((F.sum(F.col("size") * F.col("docs")) / F.sum("docs")).alias("scale"), F.min("size").alias("small"), F.max("size").alias("large"))
     state = goal.join(per, ["s_null", "s"]).select(
@@ -94,7 +95,7 @@ def balance(counts: DataFrame, goal: DataFrame, scratch: Scratch, most: float =
         gap = F.col("got") - F.col("target")
         lo, hi = F.when(gap <= 0, F.col("m")).otherwise(F.col("lo")), F.when(gap >= 0, F.col("m")).otherwise(F.col("hi"))
         newton = F.when(F.col("slope") > 0, F.col("m") - gap / F.col("slope"))
-        inside = newton.isNotNull() & (newton > lo) & (newton < hi)
+        inside = newton.isNotNull() & (newton > lo) & (newton < hi) & F.lit(k % 3 > 0)
         close = F.col("done") | (F.abs(gap) <= F.greatest(F.lit(1e-6), F.col("target") * 1e-9)) | (hi - lo <= 1e-12)
         step = state.join(sums, ["s_null", "s"]).select(
             "s_null", "s", "target", "scale",
@@ -105,6 +106,8 @@ def balance(counts: DataFrame, goal: DataFrame, scratch: Scratch, most: float =
         scratch.drop(f"newton-{k - 1}")
         if state.where(~F.col("done")).isEmpty():
             break
+    else:
+        raise RuntimeError(f"sources without a balance after {iterations} iterations")
     return state.select("s_null", "s", "scale", "m", "target")
 
 

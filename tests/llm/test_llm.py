@@ -369,6 +369,79 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
 
 
+def test_mixing_equals_an_independent_dual(spark):
+    """Copies of every source and size against rates from a plain bisection of the dual."""
+    rng = random.Random(8)
+    rows = [(i, rng.choice("abcd"), " ".join(["w"] * rng.choice([1, 2, 3, 5, 9, 14, 30, 61, 120]))) for i in range(3000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    for source in "abcd":
+        mine = [r for r in got if r.source == source]
+        size = np.array([r["size"] for r in mine], float)
+        target, scale = mine[0].target, (size**2).sum() / size.sum() * 0 + size.mean()
+        low, high = -1000.0, 1000.0
+        rate = lambda m: np.minimum(2.0, np.exp(np.minimum(50.0, m * size / scale)))  # noqa: E731, B023
+        for _ in range(200):
+            m = (low + high) / 2
+            low, high = (low, m) if (size * rate(m)).sum() > target else (m, high)
+        ideal = rate(low)
+        for n in sorted(set(size)):
+            copies = sum(r.copies for r in mine if r["size"] == n)
+            assert abs(copies - ideal[size == n].sum()) <= 2, (source, n)
+        assert abs(sum(r.copies * r["size"] for r in mine) - target) <= 1.5
+
+
+@needs_data
+def test_line_dedup_recall_against_all_pairs(spark, tmp_path):
+    """Of all pairs of lines with an edit similarity of 0.8 or more, found by comparing every pair, at least 0.95 share a group, and no group lacks a link."""
+    import duckdb
+    import pandas as pd
+
+    from barloom.llm.common import Scratch
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    _, lines = line_dedup.line_groups(docs, Scratch(spark))
+    group = {r.norm: r.component for r in lines.select("norm", "component").collect()}
+    texts = [t for t in group if len(t) < 3000]
+    size = np.array([len(t) for t in texts])
+    letters = np.zeros((len(texts), 256), np.int32)
+    for k, t in enumerate(texts):
+        np.add.at(letters[k], [ord(c) % 256 for c in t], 1)
+    pairs = []
+    for k in range(len(texts)):
+        most = np.maximum(size[k], size[k + 1 :]) * 0.2 + 1e-9
+        over = np.maximum(letters[k + 1 :] - letters[k], 0).sum(1)
+        under = np.maximum(letters[k] - letters[k + 1 :], 0).sum(1)
+        pairs += [(k, k + 1 + j) for j in np.flatnonzero(np.maximum(over, under) <= most)]  # a bound from below: nothing similar goes
+    joined = pd.DataFrame([(texts[a], texts[b]) for a, b in pairs], columns=["a", "b"])  # noqa: F841
+    similar = duckdb.sql("SELECT a, b FROM joined WHERE levenshtein(a, b) <= floor(greatest(length(a), length(b)) * 0.2 + 1e-9)").fetchall()
+    found = [group[a] == group[b] for a, b in similar]
+    print(len(pairs), len(found), sum(found))
+    assert len(found) > 10 and sum(found) >= 0.95 * len(found)
+    linked = {t for pair in similar for t in pair}
+    many = {g for g, n in __import__("collections").Counter(group[t] for t in texts).items() if n > 1}
+    assert all(t in linked for t in texts if group[t] in many)
+
+
+def test_line_dedup_unspaced_and_short_words(spark):
+    rng = random.Random(4)
+    signs = [chr(0x4E00 + k) for k in range(2000)]
+    rows = []
+    for k in range(30):
+        one = [rng.choice(signs) for _ in range(14 if k % 2 else 60)]
+        two = list(one)
+        two[rng.randrange(len(two))] = rng.choice(signs)
+        rows += [(4 * k, "".join(one)), (4 * k + 1, "".join(two))]
+        one = ["".join(rng.choice("abcdefghijklmnop") for _ in range(2)) for _ in range(12)]
+        two = list(one)
+        two[rng.randrange(12)] = "zz"
+        rows += [(4 * k + 2, " ".join(one)), (4 * k + 3, " ".join(two))]
+    long = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(10**6)) for _ in range(9000))
+    rows += [(1000, long), (1001, long.replace(" ", "  ", 5) + " end"), (1002, "unrelated line")]
+    gone = {r.doc_id for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.removed}
+    assert len([i for i in gone if i < 1000 and i % 4 == 1]) >= 28 and len([i for i in gone if i < 1000 and i % 4 == 3]) >= 28
+    assert not [i for i in gone if i < 1000 and i % 2 == 0] and 1001 in gone and not gone & {1000, 1002}
+
+
 def test_line_dedup_meets_lines_with_typos(spark):
     rng = random.Random(3)
     letters = "abcdefghijklmnopqrstuvwxyz"
@@ -526,3 +599,72 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark):
     assert near.columns == docs.columns and near.where("doc_id is null").count() == 1
     mixed = P.mix_sources(spark, near, DATA)
     assert mixed.where("copies < 1 or copies > 2 or taken != copies * size").count() == 0
+
+
+def test_pipeline_stages_against_plain_loops(spark, tmp_path):
+    """Every stage on a small table with null, empty, long and repeated rows, repeated ids and columns with a stage's names."""
+    import corpus_pipeline as P
+
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9))) for _ in range(500)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    shared = prose(60)
+    texts = [prose(40) + "\n" + prose(40) for _ in range(12)]
+    rows = [(i, t, "en", "ab"[i % 2]) for i, t in enumerate(texts)]
+    rows += [(20, shared + "\n" + prose(30), "en", "a"), (21, prose(25) + "\n" + shared, "en", "b"), (22, texts[3], "en", "a"), (23, texts[4] + " tail", "en", "b")]
+    rows += [(24, None, None, None), (25, "", "en", "a"), (26, prose(20_000), "en", "b"), (None, prose(30), "en", "a"), (5, prose(35), "en", "b"), (27, texts[7], "en", "a"), (27, texts[7], "en", "a")]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), "h", "s", "x", "y") for r in rows], "doc_id long, text string, lang string, source string, n_chars int, hits string, size string, _key string, removed string")
+    docs = docs.drop("_key")
+
+    lines = {(r.doc_id, r.text) for r in P.drop_repeated_lines(spark, docs, "").collect()}
+    seen, want = {}, set()
+    order = sorted(enumerate(rows), key=lambda x: (x[1][0] is not None, x[1][0] or 0))
+    for _, (i, t, *_rest) in order:
+        kept = []
+        for n, line in enumerate((t or "").split("\n")):
+            norm = re.sub(r"[\W_]+", " ", line.lower()).strip()
+            like = next((k for k in seen if k == norm or (norm and k and abs(len(k) - len(norm)) <= 0.2 * max(len(k), len(norm)) and (k.startswith(norm) or norm.startswith(k)))), None)
+            if not norm or like is None or seen[like] == (i, t, n):
+                kept.append(line)
+                if norm and like is None:
+                    seen[norm] = (i, t, n)
+        want.add((i, "\n".join(kept) if t is not None else None))
+    assert lines == want
+
+    near = P.drop_near_copies(spark, docs, "").collect()
+    prints = {r[1]: simhash_dedup.fingerprint((r[1] or "").encode()) for r in rows}
+    distinct = sorted({(r[0] is None, r[0] or 0, r[1] or "", r[1]) for r in rows}, key=lambda x: x[:3])
+    root = {x: x for x in distinct}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in distinct:
+        for b in distinct:
+            if bin(prints[a[3]] ^ prints[b[3]]).count("1") <= simhash_dedup.RADIUS:
+                root[max(find(a), find(b), key=lambda x: x[:3])] = min(find(a), find(b), key=lambda x: x[:3])
+    groups = {}
+    for x in distinct:
+        groups.setdefault(find(x), []).append(x)
+    assert len(near) == len(groups)
+    for members in groups.values():
+        stay = [r for r in near if any((r.doc_id, r.text) == (None if m[0] else m[1], m[3]) for m in members)]
+        assert len(stay) == 1 and stay[0].doc_id == (None if members[0][0] else min(m[1] for m in members if not m[0]))
+
+    for _, stage in P.STAGES[1:3] + P.STAGES[4:]:
+        assert stage(spark, docs.limit(0), "").count() == 0
+
+
+@needs_data
+def test_pipeline_runs_whole(spark, tmp_path):
+    import corpus_pipeline as P
+
+    got = P.run(spark, DATA).collect()
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    assert len({r.doc_id for r in got}) == len(got) and 0 < len(got) <= len(docs)
+    for r in got:  # what stays of a text are whole lines of it, in order
+        left = iter(docs[r.doc_id].split("\n"))
+        assert all(line in left for line in r.text.split("\n"))
+        assert r.taken == r.copies * r["size"] and 1 <= r.copies <= 2
