@@ -6,13 +6,15 @@ are fingerprinted the same way, so a span of WINDOW shared words always shares o
 document gram that is an item fingerprint, the windows it stands for are compared with the item's
 windows, by hash and then word by word; the union of the windows that occur are the hits.
 
-Items are taken in blocks of at most ``BLOCK_WORDS`` words; each block is broadcast and applied in
-one more pass of the same scan, so no broadcast grows with the benchmark and no text is shuffled.
+Items are taken in blocks of at most ``BLOCK_WORDS`` words; each block is broadcast and applied in a
+pass of its own, written before the next block's, so that one broadcast of bounded size lives at a time
+and no text is shuffled.
 
 Null and empty texts have no words, hence no hits and no windows.  Items with the same id count
 once; the windows of an item without an id make hits but name no item.  Document rows are
 independent: repeated rows, ties and null ids change nothing; columns of documents are kept, those
-named like a result give way.  Empty tables give empty results or no hits.
+named like a result give way.  Texts may have any length, each in the memory of its task.  Empty tables
+give empty results or no hits.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from barloom.llm.common import binary_text, slices
+from barloom.llm.common import Scratch, binary_text, slices
 
 WINDOW, GRAM = 10, 5
 #: Words of the items in one broadcast.
@@ -195,9 +197,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     fields = base.schema.fields
     span = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
     schema = StructType([*fields, StructField("n_words", LongType()), StructField("hits", span), StructField("items", ArrayType(StringType()))])
-    out = base
+    out, scratch, held = base, Scratch(docs.sparkSession), None
     for k, block in enumerate(_blocks(items, block_words)):
-        shared = sc.broadcast(block)
+        if held is not None:  # one block's broadcast lives at a time, whatever the items' number
+            out = scratch.write(out, f"block-{k}")
+            scratch.drop(f"block-{k - 1}")
+            held.unpersist()
+        held = shared = sc.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, later=k > 0) -> Iterator[pa.RecordBatch]:
             known = Block(shared.value, window, gram)

@@ -13,7 +13,8 @@ the smaller documents.  Documents of one source and size take their copies by th
 
 Null and empty texts have size 0 and take nothing.  A null source is a source of its own.  Rows with
 one id are separate documents; equal rows may take different copies, but the same on every rerun.
-Further columns are kept, those named like a result give way; an empty table gives an empty result.
+Texts may have any length.  Further columns are kept, those named like a result give way; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ of its links, never all pairs.  Components come from star contraction over those
 Words: A-Z lower-cased, split at white space.  Texts of fewer words than a shingle have one, the whole
 sequence; null, empty and blank texts have fingerprint zero, linked like any other.  The component id
 is the smallest doc_id reachable; null ids are members but never its name (null if there is no other).
-Repeated rows have equal fingerprints.  Further columns change nothing; an empty table gives an empty result.
+Repeated rows have equal fingerprints; texts may have any length, each in the memory of its task.
+Further columns change nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations

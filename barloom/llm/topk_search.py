@@ -14,6 +14,7 @@ each block meet in one ranking.
 Vectors that are null or hold null or non-finite components take no part, nor do rows without an id.
 Vectors meet those of their own length only.  Rows that repeat an id are queries and candidates of
 their own: a query leaves out its own row alone.  Ties go to the smaller id, and then to either row.
+Vectors may have any length, a block's in the memory of its task.
 Scores past 64 bits saturate.  Further columns change nothing;
 an empty table, or one without queries, gives an empty result.
 """
