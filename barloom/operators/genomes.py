@@ -88,28 +88,38 @@ def mutate(df: DataFrame, seed: int, space: SearchSpace | None = None) -> DataFr
 
 
 def crossover(pairs: DataFrame, seed: int, space: SearchSpace | None = None) -> DataFrame:
-    """(genome_id, genome) from (genome_id, a, b): parts of either parent, at most four, weights averaged where both have one."""
+    """(genome_id, genome) from (genome_id, a, b): two to four parts of either parent, in any order.
+
+    Weights are averaged where both parents have a part and shifted a little.  Parents with fewer parts
+    than the child takes leave room for random ones of 0.6 times the usual weights.  The gate is that of
+    either parent; of one child in five its mode and its window may change.
+    """
     s = space or SearchSpace()
     i, a, b = F.col("genome_id"), F.col("a"), F.col("b")
-    key = lambda p: F.concat_ws("|", p["name"], p["window"].cast("string"))
+    key = lambda p: F.struct(p["name"].alias("name"), p["window"].cast("int").alias("window"))
     both = F.concat(a["features"], b["features"])
-    keys = F.array_distinct(F.transform(both, key))
-    shuffled = F.transform(F.array_sort(F.transform(keys, lambda k: F.struct(uniform(seed, "o", i, k).alias("u"), k.alias("k")))), lambda x: x["k"])
     n = (F.floor(uniform(seed, "k", i) * (s.max_parts - s.min_parts + 1)) + s.min_parts).cast("int")
-    clamp = lambda x: F.greatest(F.lit(s.weight_range[0]), F.least(F.lit(s.weight_range[1]), x))
+    own = F.array_distinct(F.transform(both, key))
+    fresh = F.array(*[F.struct(pick(s.features, uniform(seed, "rn", i, j)).alias("name"), pick(s.windows, uniform(seed, "rw", i, j)).cast("int").alias("window")) for j in range(s.max_parts)])
+    keys = F.array_distinct(F.concat(own, F.slice(fresh, F.lit(1), F.greatest(F.lit(0), n - F.size(own)))))
+    place = lambda k: F.struct(uniform(seed, "o", i, k["name"], k["window"]).alias("u"), k.alias("k"))
+    shuffled = F.transform(F.array_sort(F.transform(keys, place)), lambda x: x["k"])
 
     def part(k: Column) -> Column:
-        own = F.filter(both, lambda p: key(p) == k)
-        mean = F.aggregate(own, F.lit(0.0), lambda acc, p: acc + p["weight"]) / F.size(own)
-        first = F.element_at(own, 1)
-        return _part(first["name"], first["window"], clamp(mean + 0.10 * normal(seed, "w", i, k)))
-
-    parts = F.transform(F.slice(shuffled, 1, n), part)
+        held = F.filter(both, lambda p: (p["name"] == k["name"]) & (p["window"] == k["window"]))
+        low, high = s.weight_range
+        foreign = 0.6 * (F.lit(low) + uniform(seed, "rg", i, k["name"], k["window"]) * (high - low))
+        mean = F.aggregate(held, F.lit(0.0), lambda acc, p: acc + p["weight"]) / F.greatest(F.lit(1), F.size(held))
+        weight = F.when(F.size(held) == 0, foreign).otherwise(mean + 0.10 * normal(seed, "w", i, k["name"], k["window"]))
+        return _part(k["name"], k["window"], F.greatest(F.lit(low), F.least(F.lit(high), weight)))
+
+    parts = F.transform(F.slice(shuffled, F.lit(1), n), part)
     threshold = F.greatest(F.lit(s.threshold_range[0]), F.least(F.lit(s.threshold_range[1]), (a["threshold"] + b["threshold"]) / 2 + 0.06 * normal(seed, "t", i)))
     gate = F.when(uniform(seed, "g", i) < 0.5, a["vol_gate"]).otherwise(b["vol_gate"])
-    new = uniform(seed, "pg", i) < 0.20
-    mode = F.when(new, pick(s.gate_modes, uniform(seed, "m", i))).otherwise(gate["mode"])
-    return pairs.select("genome_id", _genome(parts, threshold, mode, gate["window"]).alias("genome"))
+    changed = uniform(seed, "pg", i) < 0.20
+    mode = F.when(changed & (uniform(seed, "gm", i) < 0.5), pick(s.gate_modes, uniform(seed, "m", i))).otherwise(gate["mode"])
+    window = F.when(changed & (uniform(seed, "gw", i) < 0.7), pick(s.gate_windows, uniform(seed, "v", i))).otherwise(gate["window"])
+    return pairs.select("genome_id", _genome(parts, threshold, mode, window).alias("genome"))
 
 
 def unseen(df: DataFrame, seen: DataFrame) -> DataFrame:

@@ -270,3 +270,18 @@ def test_every_gate_fires(spark):
 
     codes = {r.reject_reason for r in catalog.gate_chain(spark, "/root/testdata/sf0.001").collect()}
     assert codes == {None, *(x[0] for x in catalog._CHAIN)} and len(catalog._CHAIN) == 30
+
+
+def test_crossover_of_like_parents_takes_random_parts(spark):
+    one = {"type": signal.TYPE, "features": [{"name": "mr_z", "window": 20, "weight": 2.0}, {"name": "mom_ir", "window": 5, "weight": -1.0}], "threshold": 0.5, "vol_gate": {"mode": "any", "window": 80}}
+    pairs = spark.range(400).select(F.col("id").alias("genome_id")).crossJoin(spark.createDataFrame([(one, one)], f"a {signal.GENOME}, b {signal.GENOME}"))
+    got = [r.genome for r in G.crossover(pairs, 3).collect()]
+    sizes = {len(g.features) for g in got}
+    assert sizes == {2, 3, 4}
+    known = {("mr_z", 20): 2.0, ("mom_ir", 5): -1.0}
+    foreign = [p.weight for g in got for p in g.features if (p.name, p.window) not in known]
+    assert foreign and max(map(abs, foreign)) <= 1.5 and max(map(abs, foreign)) > 1.2
+    assert all(abs(p.weight - known[p.name, p.window]) < 0.6 for g in got for p in g.features if (p.name, p.window) in known)
+    assert all(len({(p.name, p.window) for p in g.features}) == len(g.features) for g in got)
+    windows, modes = [g.vol_gate.window != 80 for g in got], [g.vol_gate["mode"] != "any" for g in got]
+    assert 10 < sum(windows) < 90 and 10 < sum(modes) < 90
