@@ -7,7 +7,6 @@ The driver keeps only counters.  The elite (bounded by ``elite_size``) and the s
 from __future__ import annotations
 
 import json
-import tempfile
 import time
 import uuid
 from collections.abc import Callable
@@ -63,8 +62,8 @@ def drawn(elite: DataFrame, n: int, seed: int, what: str) -> DataFrame:
     return draws.join(F.broadcast(ranges), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("i", "genome")
 
 
-def generation(spark: SparkSession, cfg: ResearchConfig, number: int, elite: DataFrame, seen: DataFrame, first_id: int) -> DataFrame:
-    """(genome_id, genome, fp) of up to ``generation_size`` genomes never seen."""
+def generation(spark: SparkSession, cfg: ResearchConfig, number: int, elite: DataFrame, seen: DataFrame, first_id: int, seeds: DataFrame | None = None) -> DataFrame:
+    """(genome_id, genome, fp) of up to ``generation_size`` genomes never seen; ``seeds`` (place, genome) come first, by place."""
     n, seed = cfg.generation_size, cfg.seed * 1_000_003 + number
     fresh = G.random_genomes(spark, n * 2, seed, cfg.space, 2 * n)
     rows = fresh
@@ -75,6 +74,8 @@ def generation(spark: SparkSession, cfg: ResearchConfig, number: int, elite: Dat
         b = drawn(elite, n_cross, seed + 4, "b").withColumnRenamed("genome", "b")
         crossed = G.crossover(a.join(b, "i").select((F.col("i") + n).alias("genome_id"), "a", "b"), seed + 5, cfg.space)
         rows = mutated.unionByName(crossed).unionByName(fresh)
+    if seeds is not None:  # before all others
+        rows = seeds.select((F.col("place") - F.lit(1 << 40)).alias("genome_id"), "genome").unionByName(rows)
     new = G.unseen(rows, seen).orderBy("genome_id").limit(n)
     renumbered = F.row_number().over(Window.orderBy("genome_id")) - 1 + first_id
     return new.select(renumbered.cast("bigint").alias("genome_id"), "genome", "fp")
@@ -107,7 +108,7 @@ def run(spark: SparkSession, bars: DataFrame, bar_seconds: int, cfg: ResearchCon
     """Generations until their number or the time is reached; accepted strategies go to the store."""
     from datetime import UTC, datetime
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barloom-")).rstrip("/") + f"/search-{uuid.uuid4().hex}"
+    root = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + f"/search-{uuid.uuid4().hex}"
     kept = store.Store(spark, cfg.store)
     run_id = uuid.uuid4().hex[:10]
     now = lambda: datetime.now(UTC).isoformat(timespec="seconds")
@@ -123,15 +124,15 @@ def run(spark: SparkSession, bars: DataFrame, bar_seconds: int, cfg: ResearchCon
     feats = [(f, w) for f in cfg.space.features for w in cfg.space.windows]
     wide = written(features(bars, feats), "features")
     elite = written(bounded_elite(spark.createDataFrame([], ELITE).unionByName(warm_elite(spark, kept.read("strategies"), cfg)), cfg.elite_size), "elite-0")
+    seeds = elite.select(F.col("arrival").alias("place"), "genome")  # stored strategies are evaluated anew, as the configuration may differ
     seen = written(spark.createDataFrame([], "fp long, arrival long"), "seen-0")
     p, began, first_id = Progress(), time.time(), 0
     for k in range(1, cfg.generations + 1):
         if minutes is not None and time.time() - began > minutes * 60:
             break
-        batch = written(generation(spark, cfg, k, elite, seen, first_id), f"batch-{k}")
+        batch = written(generation(spark, cfg, k, elite, seen, first_id, seeds), f"batch-{k}")
         result = gates.evaluate(wide, batch, feats, cfg.evaluation, bar_seconds, lambda df, name, k=k: written(df, f"{name}-{k}"))
         result = written(result.join(batch, "genome_id"), f"result-{k}")
-        kept.upsert(strategy_rows(result, cfg, run_id, now()))
         accepted = result.where(F.col("reject_reason").isNull()).select("fp", "score", F.col("genome_id").alias("arrival"), "genome")
         near = gates.elite_updates(result).select("fp", F.col("soft_score").alias("score"), F.col("genome_id").alias("arrival"), "genome")
         elite = written(bounded_elite(elite.unionByName(accepted).unionByName(near), cfg.elite_size), f"elite-{k}")
@@ -142,6 +143,8 @@ def run(spark: SparkSession, bars: DataFrame, bar_seconds: int, cfg: ResearchCon
         for r in gates.reject_counts(result).collect():
             p.rejects[r.reject_reason] = p.rejects.get(r.reject_reason, 0) + r.n
         top = accepted.agg(F.count("*").alias("n"), F.max("score").alias("best")).first()
+        if top.n:
+            kept.upsert(strategy_rows(result, cfg, run_id, now()))
         p.tested, p.accepted, p.generations = p.tested + n, p.accepted + top.n, k
         p.best_score = max(p.best_score, top.best if top.best is not None else -1e9)
         p.seconds = time.time() - began

@@ -285,3 +285,19 @@ def test_crossover_of_like_parents_takes_random_parts(spark):
     assert all(len({(p.name, p.window) for p in g.features}) == len(g.features) for g in got)
     windows, modes = [g.vol_gate.window != 80 for g in got], [g.vol_gate["mode"] != "any" for g in got]
     assert 10 < sum(windows) < 90 and 10 < sum(modes) < 90
+
+
+def test_generation_takes_seeds_first_and_nothing_seen(spark):
+    from barloom.config import ResearchConfig
+    from barloom.operators import search
+
+    cfg = ResearchConfig("d", "store", 3, 1, 10)
+    seeds = G.random_genomes(spark, 14, 99).select(F.col("genome_id").alias("place"), "genome")
+    elite = spark.createDataFrame([], search.ELITE)
+    seen = spark.createDataFrame([], "fp long, arrival long")
+    first = search.generation(spark, cfg, 1, elite, seen, 0, seeds).collect()
+    prints = [r.fp for r in seeds.orderBy("place").select(G.fingerprint(F.col("genome")).alias("fp")).collect()]
+    assert [r.fp for r in sorted(first, key=lambda r: r.genome_id)] == prints[:10]
+    seen = spark.createDataFrame([(r.fp, r.genome_id) for r in first], "fp long, arrival long")
+    second = sorted(search.generation(spark, cfg, 2, elite, seen, 10, seeds).collect(), key=lambda r: r.genome_id)
+    assert [r.fp for r in second[:4]] == prints[10:] and len(second) == 10 and not {r.fp for r in second} & {r.fp for r in first}
