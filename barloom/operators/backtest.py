@@ -57,19 +57,70 @@ def trade_meta(rows: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     )
 
 
+#: Returns are compounded in a tree of this fan-out; a block has two levels of it, and above blocks there are so many more.
+FAN, LEVELS = 16, 6
+
+
+def _running(first: Column, values: Column, step) -> Column:
+    """``first`` and what ``step`` makes of the value before and each of (few) ``values``."""
+    return F.aggregate(values, F.array(first), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
+
+
+def _before(blocks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Adds _upto, the product of all blocks so far, from _node, that of a whole block (null for a partial last one)."""
+    at = [f"_c{k}" for k in range(LEVELS, 0, -1)]
+    blocks = blocks.withColumns({f"_c{k}": F.floor(F.col("_b") / FAN**k) for k in range(1, LEVELS + 1)})
+    # Every window has the one order (keys, at, _b), so that there is one sort.
+    over = lambda k: Window.partitionBy(*keys, *at[: LEVELS + 1 - k]).orderBy(*at[LEVELS + 1 - k :], "_b")
+    run = lambda x, k: F.product(x).over(over(k).rowsBetween(Window.unboundedPreceding, 0))
+    ends = lambda k: (F.col("_b") + 1) % FAN**k == 0
+    for k in range(1, LEVELS + 1):
+        blocks = blocks.withColumn("_run", run(F.col(f"_u{k - 1}") if k > 1 else F.col("_node"), k)).withColumn(f"_u{k}", F.when(ends(k), F.col("_run")))
+    blocks = blocks.withColumn("_upto", F.coalesce(run(F.col(f"_u{LEVELS}"), LEVELS + 1), F.lit(1.0)))
+    for k in range(LEVELS - 1, -1, -1):
+        node = F.col(f"_u{k}") if k else F.col("_node")
+        first = F.floor((F.col("_b") + 1) / FAN**k) % FAN == 1
+        next_ = F.when(~ends(k + 1), F.when(first, F.col("_upto") * node).otherwise(node))
+        blocks = blocks.withColumn("_run", run(next_, k + 1)).withColumn("_upto", F.when(ends(k + 1), F.col("_upto")).otherwise(F.coalesce("_run", "_upto")))
+    order = over(LEVELS + 1)
+    return blocks.withColumn("_from", F.lag("_upto", 1, 1.0).over(order)).drop("_run", *at, *[f"_u{k}" for k in range(1, LEVELS + 1)])
+
+
 def equity(rows: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Rows with a pnl, their equity from 1 and the drop from its peak so far."""
-    w = Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.where(F.col("pnl").isNotNull()).withColumn("equity", F.product(F.lit(1.0) + F.col("pnl")).over(w))
-    peak = F.greatest(F.lit(1.0), F.max("equity").over(w))
-    return rows.withColumn("drawdown", safe_div(F.col("equity"), peak) - 1)
+    """Rows with a pnl, their equity from 1 and the drop from its peak so far.
+
+    Growth is multiplied in a tree: rows in order up to each ``FAN`` of them, these up to each ``FAN``
+    again, and so on; an equity is the product of the largest whole nodes before it, the larger first.
+    So rounding grows with the depth only, and long losses go to 0 where one product after another
+    stays at the smallest numbers above it.
+    """
+    w = Window.partitionBy(*keys).orderBy("t")
+    rows = rows.where(F.col("pnl").isNotNull())
+    names = [c for c in rows.columns if c not in keys]
+    rows = rows.withColumn("_j", (F.row_number().over(w) - 1).cast("long"))
+    block = F.floor(F.col("_j") / FAN**2).alias("_b")
+    out = rows.groupBy(*keys, block).agg(F.sort_array(F.collect_list(F.struct("_j", *names))).alias("_rows"))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("_rows") - 1) / FAN).cast("int")), lambda i: F.transform(F.slice("_rows", i * FAN + 1, F.lit(FAN)), lambda x: F.lit(1.0) + x["pnl"]))
+    times = lambda x, y: x * y
+    out = out.withColumn("_parts", parts).withColumn("_nodes", F.transform("_parts", lambda g: F.aggregate(g, F.lit(1.0), times)))
+    out = _before(out.withColumn("_node", F.when(F.size("_rows") == FAN**2, F.aggregate("_nodes", F.lit(1.0), times))), keys)
+    out = out.withColumn("_starts", _running(F.col("_from"), F.col("_nodes"), times))
+    last = lambda i: F.when(i == FAN - 1, F.col("_upto")).otherwise(F.get("_starts", i + 1))
+    along = lambda g, i: F.concat(F.slice(_running(F.get("_starts", i), F.slice(g, 1, FAN - 1), times), 2, FAN - 1), F.when(F.size(g) == FAN, F.array(last(i))).otherwise(F.array().cast("array<double>")))
+    out = out.withColumn("_eq", F.transform("_parts", along)).withColumn("_tops", F.transform("_eq", F.array_max))
+    order = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    out = out.withColumn("_top", F.max(F.array_max("_tops")).over(order)).withColumn("_peaks", _running(F.greatest(F.lit(1.0), "_top"), F.col("_tops"), F.greatest))
+    peaks = F.flatten(F.transform("_eq", lambda g, i: F.slice(_running(F.get("_peaks", i), g, F.greatest), 2, FAN)))
+    out = out.select(*keys, F.explode(F.arrays_zip("_rows", F.flatten("_eq").alias("equity"), peaks.alias("peak"))).alias("_x"))
+    out = out.select(*keys, *[F.col(f"_x._rows.{c}").alias(c) for c in names], F.col("_x.equity").alias("equity"), F.col("_x.peak").alias("_peak"))
+    return out.withColumn("drawdown", safe_div(F.col("equity"), F.col("_peak")) - 1).drop("_peak")
 
 
 def metrics(rows: DataFrame, bar_seconds: int, keys: tuple[str, ...] = KEYS, mdd_floor: float = 0.02, calmar_cap: float = 25.0, min_bars: int = 5) -> DataFrame:
     """Per slice: error, bars, mean_bar_return, std_bar_return, sharpe, total_return, log_equity, cagr,
     max_drawdown, calmar.  Fewer bars than ``min_bars`` (5 at least) give an error and null values."""
     ann = annual_factor(bar_seconds)
-    per = equity(rows, keys).groupBy(*keys).agg(
+    per = equity(rows.select(*keys, "t", "pnl"), keys).groupBy(*keys).agg(
         F.count("pnl").alias("bars"), F.avg("pnl").alias("mean_bar_return"), F.stddev_samp("pnl").alias("std_bar_return"), F.sum("pnl").alias("pnl_sum"),
         F.max_by("equity", "t").alias("_end"), F.least(F.lit(0.0), F.min("drawdown")).alias("max_drawdown"),
     )

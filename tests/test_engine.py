@@ -301,3 +301,19 @@ def test_generation_takes_seeds_first_and_nothing_seen(spark):
     seen = spark.createDataFrame([(r.fp, r.genome_id) for r in first], "fp long, arrival long")
     second = sorted(search.generation(spark, cfg, 2, elite, seen, 10, seeds).collect(), key=lambda r: r.genome_id)
     assert [r.fp for r in second[:4]] == prints[10:] and len(second) == 10 and not {r.fp for r in second} & {r.fp for r in first}
+
+
+def test_equity_compounds_in_a_tree(spark):
+    """Long losses end at 0, not at the smallest number that rounding holds; else equity and peaks are those of numpy."""
+    n = 70_000
+    pnl = np.random.default_rng(5).normal(0, 0.004, n)
+    base = spark.createDataFrame([("s", 1, "all", t, float(x)) for t, x in enumerate(pnl)], "series_id string, genome_id int, slice_id string, t long, pnl double")
+    loss = spark.range(3000).select(F.lit("s").alias("series_id"), F.lit(2).alias("genome_id"), F.lit("all").alias("slice_id"), F.col("id").alias("t"), F.lit(-0.3).alias("pnl"))
+    got = backtest.equity(base.union(loss)).toPandas()
+    one, two = (got[got.genome_id == i].sort_values("t") for i in (1, 2))
+    eq = np.cumprod(1 + pnl)
+    assert len(one) == n and np.allclose(one.equity, eq, rtol=1e-11, atol=0)
+    assert np.allclose(one.drawdown, eq / np.maximum(1, np.maximum.accumulate(eq)) - 1, rtol=0, atol=1e-11)
+    assert two.equity.iloc[-1] == 0 and two.drawdown.iloc[-1] == -1
+    m = {r.genome_id: r for r in backtest.metrics(base.union(loss), 86400).collect()}
+    assert m[2].log_equity is None and m[2].cagr == 0 and m[1].bars == n
