@@ -213,8 +213,9 @@ def trade_meta(spark, d):
 
 @query(f"WITH {X.positions_sql()}, {X.slices_sql(WHOLE_SQL)}, {X.metrics_sql()} SELECT CAST(gid AS BIGINT) AS genome_id, t, {rs('ln(eq)', 'log_equity')}, {rs('dd', 'drawdown')} FROM m1")
 def equity_curve(spark, d):
-    rows = backtest.equity(_backtest(spark, d, _whole))
-    return rows.select("genome_id", "t", r(F.log("equity"), "log_equity"), r("drawdown"))
+    rows = backtest.equity(_backtest(spark, d, _whole).select(*backtest.KEYS, "t", "pnl"))
+    log = F.when(F.col("equity") == 0, F.lit(float("-inf"))).otherwise(F.log("equity"))
+    return rows.select("genome_id", "t", r(log, "log_equity"), r("drawdown"))
 
 
 @query(f"WITH {X.positions_sql()}, {X.slices_sql(WHOLE_SQL)}, {X.metrics_sql()} SELECT CAST(gid AS BIGINT) AS genome_id, {rs('mdd', 'max_drawdown')} FROM m")
