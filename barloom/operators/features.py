@@ -91,6 +91,41 @@ def with_inputs(bars: DataFrame, halo: int, block: int = BLOCK, inputs: tuple[st
     return rows.withColumns(sums)
 
 
+def quantiles(rows: DataFrame, wanted: dict[str, Column], at: list[float]) -> DataFrame:
+    """(series_id, <name>, n_<name>): exact quantiles of each value, as an array, and how many aren't null.
+
+    No buffer holds a series' values: counts of magnitudes name the few ranges that hold the ranks, and
+    only distinct values of those are put in order.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), x.cast("double").alias("x")) for name, x in wanted.items()]))
+    long = rows.select("series_id", each.alias("_v")).select("series_id", "_v.name", "_v.x").where(F.col("x").isNotNull())
+    size = F.floor(F.least(F.log2(F.abs("x")) * 256, F.lit(float(1 << 19))))  # 0 has none
+    long = long.withColumn("range", F.when(F.isnan("x"), F.lit(1 << 40)).when(F.col("x") == 0, F.lit(0)).otherwise(F.signum("x") * (size + (1 << 20))).cast("bigint"))
+    key = ["series_id", "name"]
+    order = Window.partitionBy(*key).orderBy("range")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    ranges = long.groupBy(*key, "range").agg(F.count("*").alias("_n")).withColumns({"_to": F.sum("_n").over(upto), "_all": F.sum("_n").over(Window.partitionBy(*key))})
+    ranges = ranges.withColumn("_at", F.array(*[(F.col("_all") - 1) * F.lit(float(p)) for p in at]))
+    ranks = F.array_distinct(F.flatten(F.transform("_at", lambda p: F.array(F.floor(p), F.ceil(p)))))
+    ranges = ranges.withColumn("_ranks", F.filter(ranks, lambda k: (k >= F.col("_to") - F.col("_n")) & (k < F.col("_to")))).where(F.size("_ranks") > 0)
+    inside = long.join(F.broadcast(ranges.select(*key, "range", (F.col("_to") - F.col("_n")).alias("_before"), "_all", "_ranks")), [*key, "range"])
+    inside = inside.groupBy(*key, "range", "x").agg(F.count("*").alias("_n"), F.first("_before").alias("_before"), F.first("_all").alias("_all"), F.first("_ranks").alias("_ranks"))
+    through = Window.partitionBy(*key, "range").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("_to", F.col("_before") + F.sum("_n").over(through))
+    own = F.filter("_ranks", lambda k: (k >= F.col("_to") - F.col("_n")) & (k < F.col("_to")))
+    found = inside.withColumn("_rank", F.explode(own)).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "x"))).alias("_x"), F.first("_all").alias("_all"))
+
+    def value(p: float) -> Column:
+        place = (F.col("_all") - 1) * F.lit(float(p))
+        low, high = F.element_at("_x", F.floor(place)), F.element_at("_x", F.ceil(place))
+        return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+    found = found.select(*key, F.array(*[value(p) for p in at]).alias("q"), F.col("_all").alias("n"))
+    pick = lambda name, c: F.first(F.when(F.col("name") == name, F.col(c)), ignorenulls=True)
+    per = found.groupBy("series_id").agg(*[pick(name, "q").alias(name) for name in wanted], *[F.coalesce(pick(name, "n"), F.lit(0)).alias(f"n_{name}") for name in wanted])
+    return per
+
+
 #: Inputs of each feature.
 INPUTS = {"mom_ir": "ret", "mr_z": "close", "vol_s": "ret", "volu_z": "volume"}
 
@@ -112,8 +147,8 @@ def features(bars: DataFrame, wanted: list[tuple[str, int]], block: int = BLOCK,
     vols = [column(n, w) for n, w in wanted if n == "vol_s"]
     if vols:
         raw = lambda c: F.col(f"_f_{c}")
-        medians = rows.groupBy("series_id").agg(*[F.median(F.when(raw(c) > 0, raw(c))).alias(f"_m_{c}") for c in vols])
-        rows = rows.join(medians, "series_id")
+        medians = quantiles(rows, {f"_m_{c}": F.when(raw(c) > 0, raw(c)) for c in vols}, [0.5])
+        rows = rows.join(F.broadcast(medians.select("series_id", *[F.col(f"_m_{c}")[0].alias(f"_m_{c}") for c in vols])), "series_id", "left")
         for c in vols:
             median = F.coalesce(F.when(F.col(f"_m_{c}") > EPS, F.col(f"_m_{c}")), F.lit(1.0))
             rows = rows.withColumn(f"_f_{c}", clip(raw(c) / median - 1, -8.0, 8.0))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.scalar import annual_factor
-from barloom.operators.features import column, features
+from barloom.operators.features import column, features, quantiles
 
 MIN_FINITE = 200
 
@@ -20,9 +20,8 @@ def labels(bars: DataFrame, vol_window: int = 160, trend_window: int = 160) -> D
     """(series_id, t, vol_bin, trend_bin, regime), quantiles over the whole series; regime null if either bin is."""
     vol, trend = column("vol_s", vol_window), f"trend_{trend_window}"
     rows = features(bars.select("series_id", "t", "close", "volume"), [("vol_s", vol_window)], trends=[trend_window])
-    cut = lambda c: F.percentile(c, F.array(F.lit(1 / 3), F.lit(2 / 3)))
-    per = rows.groupBy("series_id").agg(F.count(vol).alias("_nv"), cut(vol).alias("_qv"), F.count(trend).alias("_nt"), cut(trend).alias("_qt"))
-    rows = rows.join(per, "series_id")
+    per = quantiles(rows, {"_qv": F.col(vol), "_qt": F.col(trend)}, [1 / 3, 2 / 3]).withColumnsRenamed({"n__qv": "_nv", "n__qt": "_nt"})
+    rows = rows.join(F.broadcast(per), "series_id", "left")
     rows = rows.withColumns({"vol_bin": tertile(F.col(vol), F.col("_nv"), F.col("_qv")), "trend_bin": tertile(F.col(trend), F.col("_nt"), F.col("_qt"))})
     return rows.select("series_id", "t", "vol_bin", "trend_bin", (F.col("vol_bin") * 3 + F.col("trend_bin")).cast("byte").alias("regime"))
 

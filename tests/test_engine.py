@@ -317,3 +317,20 @@ def test_equity_compounds_in_a_tree(spark):
     assert two.equity.iloc[-1] == 0 and two.drawdown.iloc[-1] == -1
     m = {r.genome_id: r for r in backtest.metrics(base.union(loss), 86400).collect()}
     assert m[2].log_equity is None and m[2].cagr == 0 and m[1].bars == n
+
+
+def test_quantiles_hold_no_series_in_one_buffer(spark):
+    """Exact as Spark's percentile, which gathers all values of a series in one aggregation buffer."""
+    from barloom.operators.features import quantiles
+
+    x = np.random.default_rng(1).normal(0, 1, 5001)
+    rows = [("a", float(v), None if i % 3 else float(round(v))) for i, v in enumerate(x)] + [("b", 2.5, float("inf"))] * 7 + [("c", None, None)]
+    df = spark.createDataFrame(rows, "series_id string, u double, v double")
+    at = [0.5, 1 / 3, 2 / 3]
+    asked = quantiles(df, {"u": F.col("u"), "v": F.col("v")}, at)
+    got = {r.series_id: r for r in asked.collect()}
+    for r in df.where("series_id <> 'c'").groupBy("series_id").agg(*[F.percentile(k, F.array(*map(F.lit, at))).alias(k) for k in "uv"], *[F.count(k).alias(f"n_{k}") for k in "uv"]).collect():
+        assert (got[r.series_id].u, got[r.series_id].v, got[r.series_id].n_u, got[r.series_id].n_v) == (r.u, r.v, r.n_u, r.n_v)
+    assert "c" not in got
+    vol = features(series(spark, walk(300)), [("vol_s", 20)])._jdf.queryExecution().toString()
+    assert "median(" not in vol and "percentile(" not in vol
