@@ -668,3 +668,14 @@ def test_pipeline_runs_whole(spark, tmp_path):
         left = iter(docs[r.doc_id].split("\n"))
         assert all(line in left for line in r.text.split("\n"))
         assert r.taken == r.copies * r["size"] and 1 <= r.copies <= 2
+
+
+def test_training_windows_hold_every_piece(spark):
+    """Each piece and end of every training text is predicted once, none drawn by chance."""
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    texts = [None, "", " ", "one two", " ".join(f"w{i % 97}" for i in range(1500))]
+    got = lm_score._stacked(iter([lm_score.training_windows(documents(spark, texts), path).toArrow().combine_chunks().to_batches()[0]]))
+    target = got[:, lm_score.CONTEXT :]
+    tok = lm_score.tokenizer(path)
+    want = [x for t in texts for x in [*(y for p in lm_score.pieces(tok, lm_score.split_words((t or "").encode())) for y in p), lm_score.END]]
+    assert sorted(target[target >= 0].tolist()) == sorted(want)
