@@ -679,3 +679,13 @@ def test_training_windows_hold_every_piece(spark):
     tok = lm_score.tokenizer(path)
     want = [x for t in texts for x in [*(y for p in lm_score.pieces(tok, lm_score.split_words((t or "").encode())) for y in p), lm_score.END]]
     assert sorted(target[target >= 0].tolist()) == sorted(want)
+
+
+def test_line_dedup_pairs_all_groups_of_a_block(spark):
+    """Lines of one block that are neither its first nor neighbours by length meet all the same."""
+    rows = [(1, i, i, 100 + n, None, s) for i, (n, s) in enumerate([(0, 0), (1, -1), (2, 7), (3, -1), (4, 7 << 40)])]
+    held = spark.createDataFrame(rows, "key long, id long, `group` long, len int, s0 long, s1 long")
+    met = {(r.u, r.v) for r in line_dedup._again(held).collect()}
+    assert met == {(2, 0), (4, 0), (4, 2), (3, 1)}
+    wide = spark.createDataFrame([(1, i, i, n, None, 0) for i, n in enumerate(range(15, 200))], "key long, id long, `group` long, len int, s0 long, s1 long")
+    assert {(r.u, r.v) for r in line_dedup._again(wide).collect()} == {(u, v) for u in range(185) for v in range(u) if v + 15 >= 0.8 * (u + 15) - 1e-9}
