@@ -689,3 +689,29 @@ def test_line_dedup_pairs_all_groups_of_a_block(spark):
     assert met == {(2, 0), (4, 0), (4, 2), (3, 1)}
     wide = spark.createDataFrame([(1, i, i, n, None, 0) for i, n in enumerate(range(15, 200))], "key long, id long, `group` long, len int, s0 long, s1 long")
     assert {(r.u, r.v) for r in line_dedup._again(wide).collect()} == {(u, v) for u in range(185) for v in range(u) if v + 15 >= 0.8 * (u + 15) - 1e-9}
+
+
+def test_line_dedup_compares_few_pairs_of_a_block(spark, tmp_path, monkeypatch):
+    """Of lines that share a long passage each pair could be similar; links of some spare the others, letters rule out pairs, and no similar lines stay apart."""
+    from barloom.llm.common import Scratch
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(4, 9)))
+    passage = " ".join(word() for _ in range(45))
+    starts = ["".join(rng.choice(s) for _ in range(75)) for s in ["abcd"] * 60 + ["zyxvkqmp"] * 20]
+    texts = [f"{s} {passage}" for s in starts]
+    seen = {}
+    write = Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name: seen.setdefault(name, write(self, df, name)))
+    monkeypatch.setattr(Scratch, "drop", lambda self, *names: None)
+    _, lines = line_dedup.line_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Scratch(spark))
+    group = {r.norm: r.component for r in lines.collect()}
+    import duckdb
+    import pandas as pd
+
+    pairs = pd.DataFrame([(a, b) for i, a in enumerate(texts) for b in texts[:i]], columns=["a", "b"])  # noqa: F841
+    near = duckdb.sql("SELECT a, b FROM pairs WHERE levenshtein(a, b) <= floor(greatest(length(a), length(b)) * 0.2 + 1e-9)").fetchall()
+    met = seen["met-0"].count() + seen["met-1"].count()
+    print(len(near), met)
+    assert len(group) == 80 and all(group[a] == group[b] for a, b in near)
+    assert met < 80 * 79 // 8
