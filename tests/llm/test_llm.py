@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -698,7 +699,7 @@ def test_line_dedup_compares_few_pairs_of_a_block(spark, tmp_path, monkeypatch):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(4, 9)))
     passage = " ".join(word() for _ in range(45))
-    starts = ["".join(rng.choice(s) for _ in range(75)) for s in ["abcd"] * 60 + ["zyxvkqmp"] * 20]
+    starts = ["".join(rng.choice(s) for _ in range(108)) for s in ["abcd"] * 60 + ["zyxvkqmp"] * 20]
     texts = [f"{s} {passage}" for s in starts]
     seen = {}
     write = Scratch.write
@@ -714,4 +715,20 @@ def test_line_dedup_compares_few_pairs_of_a_block(spark, tmp_path, monkeypatch):
     met = seen["met-0"].count() + seen["met-1"].count()
     print(len(near), met)
     assert len(group) == 80 and all(group[a] == group[b] for a, b in near)
-    assert met < 80 * 79 // 8
+    assert met < 80 * 79 // 4  # of 80 * 79 / 2 pairs
+
+
+def test_training_windows_are_small_and_whole():
+    """A window travels in three bytes for each of its pieces, not in 160 bytes, and comes back as it was."""
+    rng = np.random.default_rng(2)
+    lengths = np.array([1, 2, 15, 16, 17, 24, 25, 400])
+    seq = rng.integers(0, lm_score.PIECES, int(lengths.sum())).astype(np.int32)
+    seq[np.cumsum(lengths) - 1] = lm_score.END
+    inputs = np.r_[np.int32(lm_score.END), seq[:-1]]
+    inputs[np.cumsum(lengths) - lengths] = lm_score.END
+    at, valid = lm_score.windows(lengths)
+    x, y = np.where(at >= 0, inputs[at], -1).astype(np.int32), np.where(valid, seq[at[:, lm_score.LATE :]], -1).astype(np.int32)
+    rows = lm_score._packed(x, y)
+    assert all(len(r) <= 75 for r in rows)
+    got = lm_score._stacked(iter([pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["w"])]))
+    assert np.array_equal(got, np.concatenate([x, y], axis=1))
