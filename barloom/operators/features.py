@@ -3,8 +3,11 @@
 A series is cut into blocks along time and every block gets the last bars of the one before as a halo,
 so windows run on (series, block) and one long series uses the whole cluster.  Within a block running
 sums of the inputs (less the block's first value, which keeps them small) are taken once; the moments
-of any window are then differences of two of them, whatever its width.  All features of a call share
-one shuffle and one sort.  Frames hold exactly w values; before that a feature is null.
+of any window are then differences of two of them, whatever its width.  Returns, which may all be 0 or
+nearly so in one window and not in the block, have sums in two parts: whole multiples of a small number,
+which add up without rounding, and the rest.  Windows of one value have it as mean and no deviation.
+All features of a call share one shuffle and one sort.  Frames hold exactly w values; before that a
+feature is null.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from barloom.functions.scalar import EPS, clip, safe_div
 
 #: Bars in one block.
 BLOCK = 4096
+#: Inputs whose sums are kept in two parts, and the multiples in which the first parts of sums and sums of squares go.
+FINE, UNITS = ("ret",), {1: 2.0**-30, 2: 2.0**-36}
 
 
 def _order():
@@ -29,19 +34,25 @@ def _last(total: str, w: int) -> Column:
     return F.col(total) - F.coalesce(F.lag(total, w).over(_order()), F.lit(0))
 
 
+def _moment(x: str, k: int, w: int) -> Column:
+    """Mean of the last w values (less the first of the block), or of their squares."""
+    whole = _last(f"_{k}_{x}", w)
+    return (whole + _last(f"_{k}r_{x}", w) if x in FINE else whole) / w
+
+
 def rolling_mean(x: str, w: int) -> Column:
     """Mean of the last w values of input x, null until there are w; the value itself for w <= 1."""
     if w <= 1:
         return F.col(f"_{x}")
-    return F.when(_last(f"_n_{x}", w) == w, F.col(f"_0_{x}") + _last(f"_1_{x}", w) / w)
+    return F.when(F.col(f"_n_{x}") >= w, F.when(F.col(f"_k_{x}") >= w, F.col(f"_{x}")).otherwise(F.col(f"_0_{x}") + _moment(x, 1, w)))
 
 
 def rolling_std(x: str, w: int) -> Column:
     """Population standard deviation of the last w values; null for w <= 1."""
     if w <= 1:
         return F.lit(None).cast("double")
-    mean = _last(f"_1_{x}", w) / w
-    return F.when(_last(f"_n_{x}", w) == w, F.sqrt(F.greatest(F.lit(0.0), _last(f"_2_{x}", w) / w - mean * mean)))
+    mean = _moment(x, 1, w)
+    return F.when(F.col(f"_n_{x}") >= w, F.when(F.col(f"_k_{x}") >= w, F.lit(0.0)).otherwise(F.sqrt(F.greatest(F.lit(0.0), _moment(x, 2, w) - mean * mean))))
 
 
 def momentum(w: int) -> Column:
@@ -83,11 +94,19 @@ def with_inputs(bars: DataFrame, halo: int, block: int = BLOCK, inputs: tuple[st
     rows = blocked(bars, halo, block).withColumns({"_close": F.col("close").cast("double"), "_volume": F.col("volume").cast("double")})
     rows = rows.withColumn("_ret", safe_div(F.col("_close"), F.lag("_close").over(_order())) - 1)
     upto = _order().rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({f"_0_{x}": F.coalesce(F.first(f"_{x}", ignorenulls=True).over(upto), F.lit(0.0)) for x in inputs})
+    first = {f"_0_{x}": F.coalesce(F.first(f"_{x}", ignorenulls=True).over(upto), F.lit(0.0)) for x in inputs}
+    rows = rows.withColumns(first | {f"_c_{x}": (~F.col(f"_{x}").eqNullSafe(F.lag(f"_{x}").over(_order()))) for x in inputs})
     sums = {}
     for x in inputs:
         away = F.coalesce(F.col(f"_{x}") - F.col(f"_0_{x}"), F.lit(0.0))
-        sums |= {f"_n_{x}": F.count(f"_{x}").over(upto), f"_1_{x}": F.sum(away).over(upto), f"_2_{x}": F.sum(away * away).over(upto)}
+        # How many rows in a row have a value, and the same one.
+        since = lambda c: F.col("t") - F.coalesce(F.max(F.when(c, F.col("t"))).over(upto), F.min("t").over(upto) - 1)
+        sums |= {f"_n_{x}": since(F.col(f"_{x}").isNull()), f"_k_{x}": since(F.col(f"_c_{x}")) + 1}
+        for k, value in ((1, away), (2, away * away)):
+            whole = F.rint(value / UNITS[k]) * UNITS[k] if x in FINE else value
+            sums[f"_{k}_{x}"] = F.sum(whole).over(upto)
+            if x in FINE:
+                sums[f"_{k}r_{x}"] = F.sum(value - whole).over(upto)
     return rows.withColumns(sums)
 
 

@@ -52,6 +52,20 @@ def test_features_match_numpy_across_blocks(spark):
             assert rows[t].vol_s_20 == pytest.approx(np.clip(vol[t] / median - 1, -8, 8), abs=1e-4)
 
 
+def test_momentum_of_constant_and_nearly_constant_windows(spark):
+    """Each price stands six times, so most windows of returns are 0 throughout; one price moves by very little."""
+    c = np.repeat(1000 + np.random.default_rng(11).integers(0, 500_000, 500) / 10_000, 6)
+    c[1500:1506] = c[1499] + 0.001
+    c = np.float32(c)
+    got = np.array(column(features(series(spark, c), [("mom_ir", 5)]), "mom_ir_5")[5:])
+    c = c.astype(np.float64)
+    w = np.lib.stride_tricks.sliding_window_view(c[1:] / c[:-1] - 1, 5)
+    want = np.clip(w.mean(1) / (w.std(1) + 1e-12), -6, 6)
+    assert (got[want == 0] == 0).all() and (want == 0).sum() > 400
+    assert np.abs(got - want).max() < 2e-7
+    assert column(features(series(spark, [1, 1, 1, 2, 2, 2, 2]), [("mom_ir", 2)]), "mom_ir_2")[3:] == [1.0, 1.0, 0.0, 0.0]
+
+
 def test_feature_edges(spark):
     assert column(features(series(spark, [1, 2, 3]), [("mr_z", 5)]), "mr_z_5") == [None] * 3
     assert column(features(series(spark, [1, 2, 3]), [("mr_z", 1)]), "mr_z_1") == [None] * 3
