@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from barloom.config import Costs
 from barloom.functions.scalar import annual_factor, safe_div
+from barloom.operators import compound
 
 SLICE = "slice_id string, lo long, hi long, delay int, cost_mult double"
 
@@ -44,8 +45,13 @@ def pnl(rows: DataFrame, costs: Costs, keys: tuple[str, ...] = KEYS, delays: tup
     later = later.otherwise(F.raise_error(F.concat(F.lit("a slice has a delay that was not named: "), F.col("delay").cast("string"))).cast("int"))
     rows = rows.withColumns({"pos": later, "ret": safe_div(F.lead(close).over(w), close) - 1})
     rows = rows.withColumn("turnover", F.abs(F.col("pos") - F.lag("pos", 1, 0).over(w)).cast("double"))
-    charge = F.lit(costs.rate) * F.col("cost_mult") * F.col("turnover")
-    return rows.withColumn("pnl", F.when(F.col("t") < F.col("hi"), F.col("pos") * F.col("ret") - charge))
+    return rows.withColumn("pnl", net(costs, F.col("cost_mult")))
+
+
+def net(costs: Costs, cost_mult: Column) -> Column:
+    """Return of a position less its costs, null on a slice's last bar."""
+    charge = F.lit(costs.rate) * cost_mult * F.col("turnover")
+    return F.when(F.col("t") < F.col("hi"), F.col("pos") * F.col("ret") - charge)
 
 
 def trade_meta(rows: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -57,8 +63,8 @@ def trade_meta(rows: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     )
 
 
-#: Returns are compounded in a tree of this fan-out; a block has two levels of it, and above blocks there are so many more.
-FAN, LEVELS = 16, 6
+#: Returns are compounded in a tree of the fan-out of ``compound``; a block has two levels of it, and above blocks there are so many more.
+FAN, LEVELS = compound.FAN, 6
 
 
 def _running(first: Column, values: Column, step) -> Column:
@@ -116,14 +122,21 @@ def equity(rows: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return out.withColumn("drawdown", safe_div(F.col("equity"), F.col("_peak")) - 1).drop("_peak")
 
 
-def metrics(rows: DataFrame, bar_seconds: int, keys: tuple[str, ...] = KEYS, mdd_floor: float = 0.02, calmar_cap: float = 25.0, min_bars: int = 5) -> DataFrame:
+def metrics(rows: DataFrame, bar_seconds: int, keys: tuple[str, ...] = KEYS, mdd_floor: float = 0.02, calmar_cap: float = 25.0, min_bars: int = 5, values: tuple[str, ...] = ("pnl",)) -> DataFrame:
     """Per slice: error, bars, mean_bar_return, std_bar_return, sharpe, total_return, log_equity, cagr,
-    max_drawdown, calmar.  Fewer bars than ``min_bars`` (5 at least) give an error and null values."""
+    max_drawdown, calmar.  Fewer bars than ``min_bars`` (5 at least) give an error and null values.
+
+    ``values`` may name several columns of returns, null in the same rows; the column ``value`` then tells them apart.
+    """
     ann = annual_factor(bar_seconds)
-    per = equity(rows.select(*keys, "t", "pnl"), keys).groupBy(*keys).agg(
-        F.count("pnl").alias("bars"), F.avg("pnl").alias("mean_bar_return"), F.stddev_samp("pnl").alias("std_bar_return"), F.sum("pnl").alias("pnl_sum"),
-        F.max_by("equity", "t").alias("_end"), F.least(F.lit(0.0), F.min("drawdown")).alias("max_drawdown"),
-    )
+    rows = rows.where(F.col(values[0]).isNotNull()).select(*keys, "t", *values)
+    rows = rows.withColumn("_j", F.row_number().over(Window.partitionBy(*keys).orderBy("t")) - 1)
+    # The window has brought each slice's rows to one task, sorted; the sort is there if a plan ever leaves them otherwise.
+    rows = rows.sortWithinPartitions(*keys, "_j").select(F.when(F.col("_j") == 0, F.struct(*keys)).alias("_key"), "_j", *values)
+    kind = rows.schema["_key"].dataType.simpleString()
+    per = rows.mapInArrow(compound.summaries(list(values)), f"_key {kind}, value string, {compound.RESULT}")
+    keys = (*keys, "value") if len(values) > 1 else keys
+    per = per.select("_key.*", *[c for c in per.columns if c != "_key"])
     sharpe = F.when(F.col("std_bar_return") > 1e-12, F.sqrt(F.lit(ann)) * F.col("mean_bar_return") / F.col("std_bar_return")).otherwise(F.lit(0.0))
     years = F.col("bars") / F.lit(ann)
     cagr = F.when(F.col("_end") > 0, F.pow(F.col("_end"), F.lit(1.0) / years) - 1).otherwise(F.lit(0.0))

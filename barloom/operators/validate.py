@@ -118,5 +118,15 @@ def cv_summary(folds: DataFrame, errors: DataFrame) -> DataFrame:
 
 
 def stress_grid(pos: DataFrame, sizes: DataFrame, costs: Costs, bar_seconds: int, holdout_frac: float, cost_mults=(1.0, 2.0, 3.0, 5.0), delays=(0, 1), mdd_floor: float = 0.02, calmar_cap: float = 25.0) -> DataFrame:
-    rows = backtest.pnl(backtest.sliced(pos, stress_slices(sizes, holdout_frac, cost_mults, delays)), costs, delays=(0, *delays))
-    return backtest.metrics(rows, bar_seconds, backtest.KEYS, mdd_floor, calmar_cap)
+    """Metrics of ``stress_slices``.  Of train there is one slice, as no delay changes it, and all costs of a slice are taken over its rows at once."""
+    delays, mults = list(dict.fromkeys(delays)), {f"x{c:g}": float(c) for c in cost_mults}
+    slices = train_holdout(sizes, holdout_frac).where(F.col("slice_id") == "train")
+    for d in delays:
+        slices = slices.unionByName(train_holdout(sizes, holdout_frac, d).where(F.col("slice_id") == "holdout").withColumn("slice_id", F.lit(f"d{d}_holdout")))
+    rows = backtest.pnl(backtest.sliced(pos, slices), costs, delays=(0, *delays))
+    rows = rows.withColumns({name: backtest.net(costs, F.lit(c)) for name, c in mults.items()})
+    per = backtest.metrics(rows, bar_seconds, backtest.KEYS, mdd_floor, calmar_cap, values=tuple(mults))
+    names = F.when(F.col("slice_id") == "train", F.array(*[F.lit(f"d{d}_train") for d in delays])).otherwise(F.array("slice_id"))
+    per = per.withColumn("slice_id", F.explode(names))
+    name = per["value"] if "value" in per.columns else F.lit(next(iter(mults)))
+    return per.withColumn("slice_id", F.concat_ws("_", name, "slice_id")).drop("value")

@@ -333,6 +333,47 @@ def test_equity_compounds_in_a_tree(spark):
     assert m[2].log_equity is None and m[2].cagr == 0 and m[1].bars == n
 
 
+def test_metrics_take_one_pass_and_stress_shares_rows(spark):
+    """No list of a slice's rows is gathered, and costs and delays that leave a slice as it is add no rows of it."""
+    rng = np.random.default_rng(8)
+    n, c = 3000, np.float32(1000 * np.exp(np.cumsum(rng.normal(0, 0.01, 3000))))
+    pos = rng.integers(-1, 2, n)
+    base = spark.createDataFrame([("s", 1, t, float(x), int(p)) for t, (x, p) in enumerate(zip(c, pos, strict=True))], "series_id string, genome_id int, t long, close double, pos int")
+    grid = validate.stress_grid(base, validate.series_sizes(base), Costs(), 86400, 0.2)
+    plan = grid._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "x5_d1_holdout" not in plan
+    got = {r.slice_id: r for r in grid.collect()}
+    assert set(got) == {f"x{m}_d{d}_{s}" for m in (1, 2, 3, 5) for d in (0, 1) for s in ("train", "holdout")}
+    c, k = c.astype(np.float64), 2400
+    for name, r in got.items():
+        mult, delay, part = int(name[1]), int(name[4]), name[6:]
+        lo, hi = (0, k) if part == "train" else (k, n - 1)
+        p = pos[lo : hi + 1].astype(float)
+        if part == "holdout" and delay:
+            p = np.r_[0.0, p[:-1]]
+        pnl = (p * np.r_[c[lo + 1 : hi + 1] / c[lo:hi] - 1, 0] - Costs().rate * mult * np.abs(np.diff(np.r_[0.0, p])))[:-1]
+        eq = np.cumprod(1 + pnl)
+        assert r.bars == hi - lo and r.mean_bar_return == pytest.approx(pnl.mean(), abs=1e-12) and r.std_bar_return == pytest.approx(pnl.std(ddof=1), rel=1e-9)
+        assert r.log_equity == pytest.approx(np.log(eq[-1]), abs=1e-9)
+        assert r.max_drawdown == pytest.approx((eq / np.maximum(1, np.maximum.accumulate(eq)) - 1).min(), abs=1e-9)
+
+
+def test_one_pass_compounds_as_the_tree_of_rows_does(spark):
+    """Ends are the last of ``equity`` to the bit, also among the smallest numbers, whatever the batches."""
+    rng = np.random.default_rng(2)
+    rows = [("s", g, "all", t, x) for g, n, at in ((1, 5000, 0.0), (2, 2000, -0.3), (3, 1, 0.5), (4, 256, 0.01)) for t, x in enumerate((rng.normal(at, 0.01, n)).tolist())]
+    df = spark.createDataFrame(rows, "series_id string, genome_id int, slice_id string, t long, pnl double")
+    ends = {r.genome_id: r.e for r in backtest.equity(df).groupBy("genome_id").agg(F.max_by("equity", "t").alias("e")).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        got = {r.genome_id: r for r in backtest.metrics(df, 86400).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {g: r.bars for g, r in got.items()} == {1: 5000, 2: 2000, 3: 1, 4: 256} and got[3].error == "too_few_bars"
+    for g in (1, 2, 4):
+        assert got[g].total_return == ends[g] - 1
+
+
 def test_quantiles_hold_no_series_in_one_buffer(spark):
     """Exact as Spark's percentile, which gathers all values of a series in one aggregation buffer."""
     from barloom.operators.features import quantiles
