@@ -132,7 +132,7 @@ def metrics(rows: DataFrame, bar_seconds: int, keys: tuple[str, ...] = KEYS, mdd
     rows = rows.where(F.col(values[0]).isNotNull()).select(*keys, "t", *values)
     rows = rows.withColumn("_j", F.row_number().over(Window.partitionBy(*keys).orderBy("t")) - 1)
     # The window has brought each slice's rows to one task, sorted; the sort is there if a plan ever leaves them otherwise.
-    rows = rows.sortWithinPartitions(*keys, "_j").select(F.when(F.col("_j") == 0, F.struct(*keys)).alias("_key"), "_j", *values)
+    rows = rows.sortWithinPartitions(*keys, "t").select(F.when(F.col("_j") == 0, F.struct(*keys)).alias("_key"), "_j", *values)
     kind = rows.schema["_key"].dataType.simpleString()
     per = rows.mapInArrow(compound.summaries(list(values)), f"_key {kind}, value string, {compound.RESULT}")
     keys = (*keys, "value") if len(values) > 1 else keys

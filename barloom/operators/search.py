@@ -104,20 +104,27 @@ def warm_elite(spark: SparkSession, strategies: DataFrame, cfg: ResearchConfig)
     return rows.select(G.fingerprint(F.col("genome")).alias("fp"), "score", "arrival", "genome")
 
 
+def writer(spark: SparkSession, kind: str) -> Callable[[DataFrame, str], DataFrame]:
+    """Writes tables into a new shared folder and reads them back."""
+    root = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + f"/{kind}-{uuid.uuid4().hex}"
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    return written
+
+
 def run(spark: SparkSession, bars: DataFrame, bar_seconds: int, cfg: ResearchConfig, minutes: float | None = None, on_progress: Callable[[Progress], None] | None = None) -> Progress:
     """Generations until their number or the time is reached; accepted strategies go to the store."""
     from datetime import UTC, datetime
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + f"/search-{uuid.uuid4().hex}"
+    written = writer(spark, "search")
     kept = store.Store(spark, cfg.store)
     run_id = uuid.uuid4().hex[:10]
     now = lambda: datetime.now(UTC).isoformat(timespec="seconds")
     kept.insert_run({"run_id": run_id, "created_utc": now(), "mode": cfg.search_mode, "dataset_id": cfg.dataset_id, "eval_id": cfg.evaluation.eval_id, "config_json": stable_json(json.loads(json.dumps(asdict(cfg))))})
 
-    def written(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{root}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
-
     # Every feature of the search space, once; generations only add up columns.
     from barloom.operators.features import features
 

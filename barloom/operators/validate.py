@@ -48,7 +48,7 @@ def walkforward(pnl: DataFrame, bar_seconds: int, splits: int = 4, keys: tuple[s
     k = max(1, splits)
     seg = F.floor(F.col("_n") / k)
     i = F.col("t") - F.col("lo")
-    rows = rows.join(n, list(keys)).withColumn("segment", F.when(seg < 200, F.lit(0)).otherwise(F.least(F.floor(i / seg), F.lit(k - 1))).cast("int"))
+    rows = rows.join(F.broadcast(n), list(keys)).withColumn("segment", F.when(seg < 200, F.lit(0)).otherwise(F.least(F.floor(i / seg), F.lit(k - 1))).cast("int"))
     per = backtest.metrics(rows, bar_seconds, (*keys, "segment"), mdd_floor, calmar_cap)
     return per.groupBy(*keys).agg(
         F.count("*").alias("n_segments"), F.sum((F.col("total_return") > 0).cast("long")).alias("positive_segments"), F.median("sharpe").alias("median_sharpe"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators import backtest, gates, genomes as G, regime, signal, store, validate
+from barloom.operators import backtest, gates, genomes as G, regime, search, signal, store, validate
 from barloom.operators.features import features, gate, rolling_mean, rolling_std, with_inputs
 from barloom.plans import fixtures as X
 from barloom.sources import bars as B
@@ -427,8 +427,9 @@ SELECT genome_id, round((0.55 * cv_median_sharpe + 0.22 * cv_min_sharpe + 0.10 *
 
 @query(None)
 def evaluate_generation(spark, d):
-    """Both passes over the fixed genomes: gates, cross-validation, regimes and score."""
-    rows = gates.evaluate(_ticks(spark, d), X.genomes(spark), signal.needed(X.as_dicts()), X.CONFIG, X.BAR_SECONDS)
+    """Both passes over the fixed genomes: gates, cross-validation, regimes and score.  Bars, positions and the first pass are written, as all later steps read them."""
+    written = search.writer(spark, "evaluation")
+    rows = gates.evaluate(written(_ticks(spark, d), "bars"), X.genomes(spark), signal.needed(X.as_dicts()), X.CONFIG, X.BAR_SECONDS, written)
     return rows.select("genome_id", "reject_reason", "pass_flags", r("score"))
 
 

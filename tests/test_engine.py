@@ -374,6 +374,17 @@ def test_one_pass_compounds_as_the_tree_of_rows_does(spark):
         assert got[g].total_return == ends[g] - 1
 
 
+def test_generation_reads_bars_and_positions_that_were_written(spark):
+    """The events are read once; the later steps read what was written, and results are those of one plan."""
+    from barloom.plans import catalog, fixtures as X
+
+    d = "/root/testdata/sf0.001"
+    out = catalog.evaluate_generation(spark, d)
+    assert "event_id" not in out._jdf.queryExecution().optimizedPlan().toString()
+    plain = gates.evaluate(catalog._ticks(spark, d), X.genomes(spark), signal.needed(X.as_dicts()), X.CONFIG, X.BAR_SECONDS)
+    assert {(r.genome_id, r.reject_reason) for r in out.collect()} == {(r.genome_id, r.reject_reason) for r in plain.select("genome_id", "reject_reason").collect()}
+
+
 def test_quantiles_hold_no_series_in_one_buffer(spark):
     """Exact as Spark's percentile, which gathers all values of a series in one aggregation buffer."""
     from barloom.operators.features import quantiles
